@@ -264,7 +264,7 @@ def run_summary(spark, sf):
              CASE WHEN b = 0 THEN NULL WHEN b < 8 THEN 18 ELSE b + 4 END AS lo,
              CASE WHEN t = 0 THEN NULL ELSE 20 + t END AS hi
       FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS seq,
-                   CAST(l_quantity AS INT) % 30 AS b, CAST(l_extendedprice AS BIGINT) % 60 AS t FROM lineitem)),
+                   CAST(l_quantity AS INT) % 30 AS b, CAST(floor(l_extendedprice) AS BIGINT) % 60 AS t FROM lineitem)),
     lists AS (SELECT l_orderkey, list({'lo': lo, 'hi': hi} ORDER BY seq) AS rows FROM lines GROUP BY l_orderkey),
     folded AS (
       SELECT l_orderkey, list_reduce(rows, lambda a, e:

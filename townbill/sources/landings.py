@@ -195,7 +195,7 @@ def fallback_verdict(counts: DataFrame) -> DataFrame:
 
 
 def extract_feed_items(feeds: DataFrame) -> DataFrame:
-    """Landed feeds (branch, fetched_at, body) to one row per item, first branch wins."""
+    """Landed feeds (branch, page_no, fetched_at, body) to one row per item, first branch wins."""
     branch_order = F.array_position(F.array(*[F.lit(b[0]) for b in fixed.BRANCHES]), F.col("branch"))
     link = F.coalesce(
         text.blank_to_null(F.col("item.link")), text.blank_to_null(F.col("item.guid")), F.lit(fixed.FEED_DEFAULT_LINK)
@@ -203,9 +203,9 @@ def extract_feed_items(feeds: DataFrame) -> DataFrame:
     slug = F.regexp_replace(F.element_at(F.split("link", "/"), -1), "[^a-zA-Z0-9]", "")
     by_title = F.substring(F.base64(F.encode("title", "UTF-8")), 1, 20)
     items = (
-        feeds.select("branch", "fetched_at", F.from_xml("body", FEED_SCHEMA).alias("feed"))
+        feeds.select("branch", "page_no", "fetched_at", F.from_xml("body", FEED_SCHEMA).alias("feed"))
         .select(
-            "branch", F.col("fetched_at").alias("ingested_at"), branch_order.alias("branch_no"),
+            "branch", "page_no", F.col("fetched_at").alias("ingested_at"), branch_order.alias("branch_no"),
             F.posexplode("feed.channel.item").alias("pos", "item"),
         )
         .withColumn(
@@ -217,7 +217,7 @@ def extract_feed_items(feeds: DataFrame) -> DataFrame:
         .withColumn("event_id", F.coalesce(text.blank_to_null(slug), by_title))
     )
     return (
-        first_by(items, ["event_id"], ["branch_no", "pos"])
+        first_by(items, ["event_id"], ["branch_no", "page_no", "pos"])
         .withColumn("start_datetime", wallclock.parse_wall_time(F.col("published")))
         .filter(F.col("start_datetime").isNotNull())
     )
@@ -253,7 +253,7 @@ def branch_listings(feeds: DataFrame, detail_pages: DataFrame) -> DataFrame:
             F.col("item.description").alias("raw_description"),
             F.to_json("item").alias("raw_json"),
             "ingested_at",
-            _sequence("branch_no", "pos").alias("seq"),
+            _sequence("branch_no", "page_no", "pos").alias("seq"),
         )
     )
     # the labels look at the feed's own text, before the clean-up
@@ -268,9 +268,9 @@ def branch_listings(feeds: DataFrame, detail_pages: DataFrame) -> DataFrame:
 # ---- calendar detail pages --------------------------------------------------------------
 
 
-def calendar_ids(pages: DataFrame) -> DataFrame:
+def calendar_ids(pages: DataFrame, pattern: str = CALENDAR_ID) -> DataFrame:
     """Distinct detail ids linked from calendar pages."""
-    return pages.select(F.explode(F.regexp_extract_all("body", F.lit(CALENDAR_ID), F.lit(1))).alias("eid")).distinct()
+    return pages.select(F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("eid")).distinct()
 
 
 def horizon_end(now, months: int = fixed.HORIZON_MONTHS) -> dt.datetime:
