@@ -144,7 +144,7 @@ def apply_answers(spark, sf):
 )
 def adult_override(spark, sf):
     rows = classify.carry_forward(batch(spark, sf), prior(spark, sf))
-    return classify.hide_adult(rows, r"\bwith the\b|\bquality\s+only").select("id", "kid_relevant")
+    return classify.hide_adult(rows, [("with the", r"\bwith the\b"), ("quality", r"\bquality\s+only")]).select("id", "kid_relevant")
 
 
 @query(

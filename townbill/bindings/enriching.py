@@ -63,7 +63,7 @@ def admin_prefilter(spark, sf):
 def price_signal(spark, sf):
     signal = prices.price_signal(
         text.joined(F.col("title"), F.col("description"), "\n"),
-        ["free"], [r"\$[\d,.]+", r"\bthe and\b"], ["sing"], [r"\bfor the\b"], ["tech", "run"],
+        ["free"], [("$", r"\$[\d,.]+"), ("the and", r"\bthe and\b")], ["sing"], [("for the", r"\bfor the\b")], ["tech", "run"],
     )
     return document_listings(spark, sf).select("id", signal.alias("signal"))
 

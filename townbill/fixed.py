@@ -83,20 +83,20 @@ PAID_PHRASES = (
     "buy tickets", "buy ticket", "purchased ticket", "purchase a ticket", "purchase tickets",
     "tickets on sale", "ticket required", "tickets required", "no refund",
 )
-# patterns over lower-cased text; \b marks an ASCII word edge
+# (letters any match must hold, pattern) over lower-cased text; \b marks an ASCII word edge
 PAID_PATTERNS = (
-    r"cost[:\s]+\$?\d[\d,.]*",
-    r"\$[\d,.]+",
-    r"\bfees?\b",
-    r"\bregister for \$?\d",
-    r"\bper (?:child|person|participant|family)\b",
-    r"\bmaterials fee\b",
-    r"\badmission[:\s]+\$?\d",
+    ("cost", r"cost[:\s]+\$?\d[\d,.]*"),
+    ("$", r"\$[\d,.]+"),
+    ("fee", r"\bfees?\b"),
+    ("register for ", r"\bregister for \$?\d"),
+    ("per ", r"\bper (?:child|person|participant|family)\b"),
+    ("materials fee", r"\bmaterials fee\b"),
+    ("admission", r"\badmission[:\s]+\$?\d"),
 )
 FREE_PHRASES = (
     "free admission", "free to attend", "free of charge", "no cost to attend", "admission is free",
 )
-FREE_PATTERNS = (r"\bfree event\b", r"\bno cost\b")
+FREE_PATTERNS = (("free event", r"\bfree event\b"), ("no cost", r"\bno cost\b"))
 AMBIGUOUS_PHRASES = (
     "at the gate", "members only", "member only", "reservation required",
     "reservations required", "donations welcome", "suggested donation",
@@ -131,8 +131,18 @@ CATEGORY_WORDS = (
     ("parks-rec", ("park", "nature", "outdoor", "garden", "trail")),
 )
 DEFAULT_CATEGORY = "library"
-ADULT_TITLE_PATTERN = r"\bfor adults\b|\badult['’]?s?\b|\bseniors?\b|\b18\+\b"
-ADULT_OVERRIDE_PATTERN = r"\badults?\s*only\b|\b21\s*\+|\b18\s*\+|\bmust be 21\b"
+ADULT_TITLE_PATTERNS = (
+    ("for adults", r"\bfor adults\b"),
+    ("adult", r"\badult['’]?s?\b"),
+    ("senior", r"\bseniors?\b"),
+    ("18+", r"\b18\+\b"),
+)
+ADULT_OVERRIDE_PATTERNS = (
+    ("adult", r"\badults?\s*only\b"),
+    ("21", r"\b21\s*\+"),
+    ("18", r"\b18\s*\+"),
+    ("must be 21", r"\bmust be 21\b"),
+)
 EXCLUDED_BRANCHES = ("Plano Public Library",)
 
 # ---- fixed values: entities, in decoding order -----------------------------------------

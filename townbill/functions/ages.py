@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add
 
 from pyspark.sql import Column, functions as F
 
 from townbill import fixed
-from townbill.functions.text import SPACE, blank_to_null, let
+from townbill.functions.text import SPACE, blank_to_null, holds_any, let
 
 
 def _range(lo: Column | int | None, hi: Column | int | None, label: Column | str | None) -> Column:
@@ -65,7 +65,7 @@ def range_from_flags(flags: dict[str, Column], label: Column | None = None) -> C
 
 def audience_flags(name: Column) -> dict[str, Column]:
     """Which audience groups one lower-cased taxonomy name stands for."""
-    has = lambda *words: F.coalesce(reduce(or_, [F.contains(name, F.lit(w)) for w in words]), F.lit(False))
+    has = lambda *words: F.coalesce(holds_any(name, words), F.lit(False))
     return {
         "adult": has("adult", "senior"),
         "everyone": has("all ages", "famil"),
@@ -78,20 +78,19 @@ def audience_flags(name: Column) -> dict[str, Column]:
 
 def suitable_for_range(html: Column, window: int = 600) -> Column:
     """Range from the 'Suitable for' block of an older detail page."""
+    groups = ("young", "middle", "tween", "teen")
+
+    def read(block: Column) -> Column:
+        words = {"young": "children (0", "middle": "children (6", "tween": "tween", "teen": "teen"}
+        flags = {g: F.contains(block, F.lit(words[g])) for g in groups}
+        flags["adult"] = holds_any(block, ("adult", "senior"))
+        count = reduce(add, [flags[g].cast("int") for g in groups])
+        only = F.coalesce(*[F.when(flags[g], F.lit(CHILD_GROUPS[g][2])) for g in groups])
+        return range_from_flags(flags, F.when(count == 1, only))
+
     at = F.instr(html, "Suitable for")
     block = F.lower(F.substring(html, at, F.lit(window)))
-    has = lambda word: F.contains(block, F.lit(word))
-    flags = {
-        "adult": has("adult") | has("senior"),
-        "young": has("children (0"),
-        "middle": has("children (6"),
-        "tween": has("tween"),
-        "teen": has("teen"),
-    }
-    count = sum((flags[g].cast("int") for g in ("young", "middle", "tween", "teen")), F.lit(0))
-    only = F.coalesce(*[F.when(flags[g], F.lit(CHILD_GROUPS[g][2])) for g in ("young", "middle", "tween", "teen")])
-    found = range_from_flags(flags, F.when(count == 1, only))
-    return F.when(at > 0, found).otherwise(_range(None, None, None))
+    return F.when(at > 0, let(block, read)).otherwise(_range(None, None, None))
 
 
 def audience_links(html: Column, window: int = 600) -> Column:

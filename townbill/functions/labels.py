@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from townbill import fixed
-from townbill.functions.text import contains_any, joined
+from townbill.functions.text import contains_any, holds_any, joined, let
 
 
 def guess_category(title: Column, description: Column, words=fixed.CATEGORY_WORDS) -> Column:
     """The first category any of whose words occurs, as part of a word or whole."""
-    text = joined(title, description)
-    return F.coalesce(
-        *[F.when(contains_any(text, stems), category) for category, stems in words], F.lit(fixed.DEFAULT_CATEGORY)
+    return let(
+        F.lower(joined(title, description)),
+        lambda t: F.coalesce(
+            *[F.when(holds_any(t, stems), category) for category, stems in words], F.lit(fixed.DEFAULT_CATEGORY)
+        ),
     )
 
 
@@ -27,8 +29,12 @@ def is_admin_item(title: Column, words=fixed.ADMIN_KEYWORDS) -> Column:
 def venue_coordinates(location: Column, venues=fixed.VENUE_COORDS, default=fixed.DEFAULT_COORDS) -> Column:
     """Struct(lat, lng) of the first listed venue whose name occurs in the location."""
     point = lambda lat, lng: F.struct(F.lit(lat).alias("lat"), F.lit(lng).alias("lng"))
-    name = F.lower(location)
-    return F.coalesce(*[F.when(F.contains(name, F.lit(v)), point(lat, lng)) for v, lat, lng in venues], point(*default))
+    return let(
+        F.lower(location),
+        lambda name: F.coalesce(
+            *[F.when(F.contains(name, F.lit(v)), point(lat, lng)) for v, lat, lng in venues], point(*default)
+        ),
+    )
 
 
 def city_of(source: Column, dim: dict = fixed.SOURCE_DIM) -> Column:

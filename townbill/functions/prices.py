@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from townbill import fixed
-from townbill.functions.text import contains_any, joined, matches_any, trim, whole_word_any
+from townbill.functions.text import holds_any, joined, let, matches_any, trim, whole_word_any
 
 
 def price_signal(
@@ -17,12 +17,16 @@ def price_signal(
     ambiguous_phrases=fixed.AMBIGUOUS_PHRASES,
 ) -> Column:
     """'paid', 'free', 'ambiguous' or 'none'; an explicit paid signal always wins."""
-    lower = F.lower(text)
-    paid = contains_any(text, paid_phrases) | matches_any(lower, paid_patterns)
-    free = contains_any(text, free_phrases) | matches_any(lower, free_patterns)
-    return (
-        F.when(paid, "paid").when(free, "free").when(contains_any(text, ambiguous_phrases), "ambiguous").otherwise("none")
-    )
+
+    def signal(t: Column) -> Column:
+        return (
+            F.when(holds_any(t, paid_phrases) | matches_any(t, paid_patterns), "paid")
+            .when(holds_any(t, free_phrases) | matches_any(t, free_patterns), "free")
+            .when(holds_any(t, ambiguous_phrases), "ambiguous")
+            .otherwise("none")
+        )
+
+    return let(F.lower(text), signal)
 
 
 def _priced(price_class: Column, confidence: Column) -> Column:
@@ -45,26 +49,33 @@ def resolve_price(
 ) -> Column:
     """Free that was only assumed becomes unknown where the text suggests a paid programme."""
     assumed_free = (price_class == "free") & (confidence == "inferred")
-    doubtful = whole_word_any(text, paid_words) | F.coalesce(registration_required, F.lit(False))
-    downgraded = assumed_free & doubtful
-    return _priced(
-        F.when(downgraded, "unknown").otherwise(price_class), F.when(downgraded, "inferred").otherwise(confidence)
+    doubtful = F.coalesce(registration_required, F.lit(False)) | whole_word_any(text, paid_words)
+    return let(
+        assumed_free & doubtful,
+        lambda downgraded: _priced(
+            F.when(downgraded, "unknown").otherwise(price_class), F.when(downgraded, "inferred").otherwise(confidence)
+        ),
     )
 
 
 def fallback_price(title: Column, description: Column, registration_required: Column) -> Column:
     """Price class without any model: keyword signal, then the downgrade."""
-    raw = raw_price(price_signal(joined(title, description, "\n")))
-    return resolve_price(
-        raw["price_class"], raw["price_confidence"], joined(title, description), registration_required
+    return let(
+        let(price_signal(joined(title, description, "\n")), raw_price),
+        lambda raw: resolve_price(
+            raw["price_class"], raw["price_confidence"], joined(title, description), registration_required
+        ),
     )
 
 
 def cost_field_class(raw: Column) -> Column:
     """A stated cost field: free beats paid, anything else is not a price."""
-    s = trim(F.lower(raw))
-    paid = s.rlike(r"\$\s*\d") | F.contains(s, F.lit("paid")) | matches_any(s, [r"\bfees?\b"])
-    return F.when(F.contains(s, F.lit("free")), "free").when(paid, "paid")
+
+    def stated(s: Column) -> Column:
+        paid = s.rlike(r"\$\s*\d") | F.contains(s, F.lit("paid")) | matches_any(s, [("fee", r"\bfees?\b")])
+        return F.when(F.contains(s, F.lit("free")), "free").when(paid, "paid")
+
+    return let(trim(F.lower(raw)), stated)
 
 
 def is_free_of(price_class: Column) -> Column:

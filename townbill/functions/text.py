@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from townbill import fixed
 
-# White space as browsers count it: the ASCII set plus the Unicode spaces.
+# ---- fixed values: white space as browsers count it, the ASCII set plus the Unicode spaces ----
+SPACE_CHARS = (
+    " \t\n\x0B\f\r\u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A"
+    "\u2028\u2029\u202F\u205F\u3000\uFEFF"
+)
 SPACES = r"\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 SPACE = f"[{SPACES}]"
+# a run of white space other than one plain blank
+UNEVEN_SPACE = rf"(?: {SPACE}+|[{SPACES}&&[^ ]]{SPACE}*)"
+# ASCII word edges; Java's own \b also counts accented letters as word characters
 EDGE_BEFORE = r"(?<![A-Za-z0-9_])"
 EDGE_AFTER = r"(?![A-Za-z0-9_])"
-# ASCII word edge; Java's own \b also counts accented letters as word characters.
 EDGE = rf"(?:{EDGE_BEFORE}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){EDGE_AFTER})"
 
 HEX_RUN = r"(?:&#x[0-9a-fA-F]+;)+"
@@ -21,16 +29,22 @@ DEC_RUN = r"(?:&#\d+;)+"
 
 
 def ascii_edges(pattern: str) -> str:
-    """Rewrite \\b in a pattern to an ASCII word edge."""
+    """Rewrite \\b in a pattern to an ASCII word edge; one that opens a word needs only look back."""
+    pattern = re.sub(r"\\b(?=[A-Za-z0-9])", lambda _: EDGE_BEFORE, pattern)
     return pattern.replace(r"\b", EDGE)
 
 
+def let(c: Column, body) -> Column:
+    """Evaluate c once and hand it to body as a variable."""
+    return F.transform(F.array(c), body)[0]
+
+
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse(c: Column) -> Column:
-    return trim(F.regexp_replace(c, rf"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, UNEVEN_SPACE, " "))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -49,9 +63,13 @@ def normalise_title(c: Column) -> Column:
     return collapse(F.lower(c))
 
 
-def let(c: Column, body) -> Column:
-    """Evaluate c once and hand it to body as a variable."""
-    return F.transform(F.array(c), body)[0]
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns through a generator step.
+
+    The optimizer copies an ordinary projected expression into the filters and projections
+    that use it, and would then run a page's regular expressions once per use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _decode_runs(c: Column, run: str, unit: str, to_hex) -> Column:
@@ -71,8 +89,14 @@ def _decode_runs(c: Column, run: str, unit: str, to_hex) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Named entities in their fixed order, then numeric ones, then white space."""
-    for name, char in fixed.ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
+
+    def named(t: Column) -> Column:
+        out = t
+        for name, char in fixed.ENTITIES:
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    c = let(c, named)
     hex_unit = lambda h: F.right(F.concat(F.lit("000"), h), F.lit(4))
     dec_unit = lambda d: hex_unit(F.hex((F.coalesce(d.try_cast("decimal(38,0)"), F.lit(0)) % 65536).cast("bigint")))
     c = let(c, lambda t: _decode_runs(t, HEX_RUN, r"&#x([0-9a-fA-F]+);", hex_unit))
@@ -80,18 +104,28 @@ def decode_entities(c: Column) -> Column:
     return collapse(c)
 
 
+def holds_any(lowered: Column, words) -> Column:
+    """Does the text, lower-cased already, hold any of the words, anywhere?"""
+    return reduce(or_, [F.contains(lowered, F.lit(w)) for w in words])
+
+
 def contains_any(c: Column, words) -> Column:
-    """Does the lower-cased text hold any of the words, anywhere?"""
-    return F.lower(c).rlike("|".join(re.escape(w) for w in words))
+    return let(F.lower(c), lambda t: holds_any(t, words))
 
 
-def matches_any(c: Column, patterns) -> Column:
-    return c.rlike("|".join(f"(?:{ascii_edges(p)})" for p in patterns))
+def matches_any(lowered: Column, patterns) -> Column:
+    """Does any (letters, pattern) pair match? The search for the letters spares most rows the pattern."""
+    return reduce(or_, [F.contains(lowered, F.lit(part)) & lowered.rlike(ascii_edges(p)) for part, p in patterns])
 
 
-def whole_word_any(c: Column, words) -> Column:
+def whole_words(lowered: Column, words) -> Column:
+    """The cheap search for the letters decides most rows; the pattern then checks the edges."""
     alternatives = "|".join(re.escape(w) for w in words)
-    return F.lower(c).rlike(f"{EDGE_BEFORE}(?:{alternatives}){EDGE_AFTER}")
+    return holds_any(lowered, words) & lowered.rlike(f"{EDGE_BEFORE}(?:{alternatives}){EDGE_AFTER}")
+
+
+def whole_word_any(c: Column, words) -> Column:
+    return let(F.lower(c), lambda t: whole_words(t, words))
 
 
 def joined(a: Column, b: Column, glue: str = " ") -> Column:
@@ -131,8 +165,6 @@ def short_venue(location: Column, city_label: Column) -> Column:
 def meta_description(
     description: Column, location: Column, is_free: Column, city_label: Column, site_name: str = "this site"
 ) -> Column:
-    raw = plain_text(description)
-    cut = F.concat(F.regexp_replace(F.substring(raw, 1, 152), rf"{SPACE}+[^{SPACES}]*$", ""), F.lit("…"))
     made = F.concat(
         F.when(is_free, "Free ").otherwise(""),
         F.lit("kids event"),
@@ -141,7 +173,11 @@ def meta_description(
         city_label,
         F.lit(f", TX — details, date, time, and directions on {site_name}."),
     )
-    return F.when(F.length(raw) > 155, cut).when(F.length(raw) > 40, raw).otherwise(made)
+    cut = lambda raw: F.concat(F.regexp_replace(F.substring(raw, 1, 152), rf"{SPACE}+[^{SPACES}]*$", ""), F.lit("…"))
+    return let(
+        plain_text(description),
+        lambda raw: F.when(F.length(raw) > 155, cut(raw)).when(F.length(raw) > 40, raw).otherwise(made),
+    )
 
 
 def page_title(title: Column, location: Column, organisation: Column, is_free: Column) -> Column:

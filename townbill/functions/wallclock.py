@@ -11,8 +11,9 @@ import datetime as dt
 from pyspark.sql import Column, functions as F
 
 from townbill import fixed
-from townbill.functions.text import EDGE_BEFORE, SPACE, trim
+from townbill.functions.text import EDGE_BEFORE, SPACE, let, trim
 
+# ---- fixed values: wall-clock shapes ----
 ISO = r"^(\d{4})-(\d{2})-(\d{2})[ T](\d{2}):(\d{2})(?::(\d{2}))?"
 DATE_ONLY = r"^(\d{4})-(\d{2})-(\d{2})$"
 DAY_FIRST = (
@@ -23,6 +24,7 @@ MONTH_FIRST = (
     rf"{EDGE_BEFORE}([A-Za-z]{{3,}}){SPACE}+(\d{{1,2}}),?{SPACE}+(\d{{4}})"
     rf"(?:{SPACE}+(\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?{SPACE}*([AaPp]\.?[Mm]\.?)?)?"
 )
+SEPARATOR = "\u0001"
 
 
 def as_utc(moment) -> dt.datetime:
@@ -66,54 +68,51 @@ def wall_to_utc(year, month, day, hour, minute, second, zone: str = fixed.LOCAL_
     return F.timestamp_micros(2 * F.unix_micros(as_if_utc) - F.unix_micros(F.from_utc_timestamp(as_if_utc, zone)))
 
 
-def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.coalesce(F.regexp_extract(c, pattern, group).try_cast("int"), F.lit(0))
+def _groups(c: Column, pattern: str, order: str) -> Column:
+    """The pattern's groups in the given order, from one match; null when it does not occur."""
+    wanted = SEPARATOR.join(f"${g}" for g in order)
+    parts = F.split(F.regexp_replace(c, f"(?s)^.*?(?:{pattern}).*$", wanted), SEPARATOR)
+    return let(parts, lambda p: F.when(F.size(p) == len(order), p))
 
 
-def iso_wall_time(c: Column, zone: str = fixed.LOCAL_ZONE, exact: bool = False) -> Column:
-    """'2026-08-15T08:00[:00]' read as local wall time; anything else is null."""
-    parts = [_part(c, ISO, g) for g in range(1, 7)]
-    return F.when(c.rlike(ISO), wall_to_utc(*parts, zone=zone, exact=exact))
+def _fields_to_utc(fields: Column, zone: str, exact: bool) -> Column:
+    """An array of year, month, day and optionally hour, minute, second as text to an instant."""
+    number = lambda i: F.coalesce(F.get(fields, F.lit(i)).try_cast("int"), F.lit(0))
+    return F.when(fields.isNotNull(), wall_to_utc(*[number(i) for i in range(6)], zone=zone, exact=exact))
 
 
-def _month_number(name: Column) -> Column:
-    number = F.array_position(F.array(*[F.lit(m) for m in fixed.MONTHS]), F.lower(F.substring(name, 1, 3)))
-    return number.cast("int")
+def iso_wall_time(c: Column, zone: str = fixed.LOCAL_ZONE, exact: bool = False) -> Column:
+    """'2026-08-15T08:00[:00]' read as local wall time; anything else is null."""
+    return let(_groups(c, ISO, "123456"), lambda f: _fields_to_utc(f, zone, exact))
 
 
-def _hour24(hour: Column, meridiem: Column) -> Column:
-    is_pm = F.lower(F.substring(meridiem, 1, 1)) == "p"
-    return (
-        F.when(meridiem == "", hour)
-        .when(is_pm & (hour != 12), hour + 12)
-        .when(~is_pm & (hour == 12), F.lit(0))
-        .otherwise(hour)
+def _named_month(fields: Column) -> Column:
+    """Replace the month name by its number and the hour by its 24-hour reading; null for no month."""
+    months = F.array(*[F.lit(m) for m in fixed.MONTHS])
+    number = F.array_position(months, F.lower(F.substring(fields[1], 1, 3)))
+    hour = F.coalesce(fields[3].try_cast("int"), F.lit(0))
+    half = F.lower(F.substring(F.coalesce(F.get(fields, F.lit(6)), F.lit("")), 1, 1))
+    hour24 = (
+        F.when((half == "p") & (hour != 12), hour + 12).when((half == "a") & (hour == 12), F.lit(0)).otherwise(hour)
+    )
+    text_of = lambda c: c.cast("string")
+    return F.when(
+        number > 0, F.array(fields[0], text_of(number), fields[2], text_of(hour24), fields[4], fields[5])
     )
 
 
 def parse_wall_time(c: Column, zone: str = fixed.LOCAL_ZONE, exact: bool = False) -> Column:
     """The three shapes sources publish, as local wall time; a stated offset is ignored."""
-    s = trim(c)
-    day_first_month = _month_number(F.regexp_extract(s, DAY_FIRST, 2))
-    month_first_month = _month_number(F.regexp_extract(s, MONTH_FIRST, 1))
-    d = [_part(s, DAY_FIRST, g) for g in range(7)]
-    m = [_part(s, MONTH_FIRST, g) for g in range(7)]
-    o = [_part(s, DATE_ONLY, g) for g in range(4)]
-    zero = F.lit(0)
-    return (
-        F.when(s.rlike(ISO), iso_wall_time(s, zone, exact))
-        .when(s.rlike(DATE_ONLY), wall_to_utc(o[1], o[2], o[3], zero, zero, zero, zone, exact))
-        .when(
-            day_first_month > 0, wall_to_utc(d[3], day_first_month, d[1], d[4], d[5], d[6], zone, exact)
-        )
-        .when(
-            month_first_month > 0,
-            wall_to_utc(
-                m[3], month_first_month, m[2],
-                _hour24(m[4], F.regexp_extract(s, MONTH_FIRST, 7)), m[5], m[6], zone, exact,
-            ),
+
+    def fields(s: Column) -> Column:
+        return F.coalesce(
+            _groups(s, ISO, "123456"),
+            _groups(s, DATE_ONLY, "123"),
+            let(_groups(s, DAY_FIRST, "321456"), _named_month),
+            let(_groups(s, MONTH_FIRST, "3124567"), _named_month),
         )
-    )
+
+    return let(let(trim(c), fields), lambda f: _fields_to_utc(f, zone, exact))
 
 
 def local_second_of_day(ts: Column, zone: str = fixed.LOCAL_ZONE) -> Column:

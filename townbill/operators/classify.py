@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from townbill import fixed
 from townbill.functions import prices
 from townbill.functions.model_output import parse_answer
-from townbill.functions.text import joined, matches_any
+from townbill.functions.text import joined, let, matches_any
 
 CARRIED = (
     "kid_relevant", "age_buckets", "age_confidence", "age_reasoning", "is_free", "price_text",
@@ -96,10 +96,10 @@ def apply_answers(capped: DataFrame, answers: DataFrame) -> DataFrame:
     ).drop("found", "resolved")
 
 
-def hide_adult(rows: DataFrame, pattern: str = fixed.ADULT_OVERRIDE_PATTERN) -> DataFrame:
+def hide_adult(rows: DataFrame, patterns=fixed.ADULT_OVERRIDE_PATTERNS) -> DataFrame:
     """Hide low-confidence rows and those whose text says adults only, carried ones included."""
     text = F.lower(joined(F.col("title"), F.col("description")))
-    hide = F.col("age_confidence").eqNullSafe("low") | matches_any(text, [pattern])
+    hide = F.col("age_confidence").eqNullSafe("low") | let(text, lambda t: matches_any(t, patterns))
     return rows.withColumn("kid_relevant", F.when(hide, False).otherwise(F.col("kid_relevant")))
 
 

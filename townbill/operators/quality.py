@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from townbill import fixed
 from townbill.functions.ages import passes_age_filter
 from townbill.functions.maths import percent_text, safe_ratio
-from townbill.functions.text import matches_any
+from townbill.functions.text import let, matches_any
 from townbill.functions.wallclock import implausible_start, instant
 
 
@@ -28,10 +28,10 @@ SHORT_NAMES = {
 
 
 def adult_title_leak(
-    title: Column, age_min: Column, pattern: str = fixed.ADULT_TITLE_PATTERN, adult_age: int = fixed.ADULT_AGE
+    title: Column, age_min: Column, patterns=fixed.ADULT_TITLE_PATTERNS, adult_age: int = fixed.ADULT_AGE
 ) -> Column:
     """A title aimed at adults on a row that children would see."""
-    aimed = matches_any(F.lower(title), [pattern])
+    aimed = let(F.lower(title), lambda t: matches_any(t, patterns))
     return F.coalesce(aimed, F.lit(False)) & (F.coalesce(age_min, F.lit(0)) < adult_age)
 
 

@@ -65,12 +65,13 @@ def extract_cards(pages: DataFrame) -> DataFrame:
     """Listing pages (page_no, fetched_at, body) to one row per card, first occurrence per id."""
     chunks = F.split("body", r"\Q" + CARD_DELIMITER + r"\E")
     card = F.col("card")
-    fields = pages.select(
+    cards = pages.select(
         "page_no", "fetched_at", F.posexplode(F.slice(chunks, F.lit(2), F.size(chunks))).alias("pos", "card")
-    ).select(
+    )
+    fields = text.compute_once(cards, event_id=_found(card, CARD_LINK, 2)).filter(F.col("event_id").isNotNull()).select(
         "page_no",
         "pos",
-        _found(card, CARD_LINK, 2).alias("event_id"),
+        "event_id",
         _found(card, CARD_LINK, 1).alias("event_url"),
         text.decode_entities(text.trim(text.strip_tags(_found(card, CARD_TITLE)))).alias("title"),
         text.trim(F.regexp_extract(card, CARD_MONTH, 1)).alias("month"),
@@ -88,10 +89,9 @@ def extract_cards(pages: DataFrame) -> DataFrame:
     clock = F.regexp_replace(F.col("clock"), r"(?i)(\d+:\d+)am", "$1 AM")
     clock = F.regexp_replace(clock, r"(?i)(\d+:\d+)pm", "$1 PM")
     when_text = F.trim(F.concat(F.col("month"), F.lit(" "), F.col("day"), F.lit(", "), F.col("year"), F.lit(" "), clock))
-    firsts = first_by(fields.filter(F.col("event_id").isNotNull()), ["event_id"], ["page_no", "pos"])
+    firsts = first_by(fields, ["event_id"], ["page_no", "pos"]).withColumn("when_text", when_text)
     return (
-        firsts.withColumn("when_text", when_text)
-        .withColumn("start_datetime", wallclock.parse_wall_time(F.col("when_text")))
+        text.compute_once(firsts, start_datetime=wallclock.parse_wall_time(F.col("when_text")))
         .filter(F.col("title").isNotNull() & F.col("start_datetime").isNotNull())
         .drop("month", "day", "year", "clock")
     )
@@ -212,14 +212,13 @@ def extract_feed_items(feeds: DataFrame) -> DataFrame:
             "published", F.coalesce(text.blank_to_null(F.col("item.pubDate")), text.blank_to_null(F.col("item.`dc:date`")))
         )
         .filter(F.col("published").isNotNull())
-        .withColumn("title", text.decode_entities(F.coalesce(F.col("item.title"), F.lit(""))))
         .withColumn("link", link)
-        .withColumn("event_id", F.coalesce(text.blank_to_null(slug), by_title))
     )
-    return (
-        first_by(items, ["event_id"], ["branch_no", "page_no", "pos"])
-        .withColumn("start_datetime", wallclock.parse_wall_time(F.col("published")))
-        .filter(F.col("start_datetime").isNotNull())
+    items = text.compute_once(items, title=text.decode_entities(F.coalesce(F.col("item.title"), F.lit(""))))
+    items = items.withColumn("event_id", F.coalesce(text.blank_to_null(slug), by_title))
+    firsts = first_by(items, ["event_id"], ["branch_no", "page_no", "pos"])
+    return text.compute_once(firsts, start_datetime=wallclock.parse_wall_time(F.col("published"))).filter(
+        F.col("start_datetime").isNotNull()
     )
 
 
@@ -293,22 +292,23 @@ def calendar_listings(pages: DataFrame, now, base_url: str = "https://www.frisco
     """Landed detail pages (eid, fetched_at, body) to listings with a first price class."""
     body = F.col("body")
     title = F.regexp_replace(text.decode_entities(F.regexp_extract(body, PAGE_TITLE, 1)), TITLE_PREFIX, "")
-    titled = (
-        pages.withColumn("title", text.trim(F.split(title, r"\s*\|\s*", 2)[0]))
-        .filter((F.col("title") != "") & ~labels.is_admin_item(F.col("title")))
-        .withColumn("start_wall", text.trim(_found(body, START_ITEM)))
-        .withColumn("start_datetime", wallclock.parse_wall_time(F.col("start_wall")))
-        .filter(F.col("start_datetime") <= wallclock.instant(horizon_end(now)))
+    titled = text.compute_once(pages, title=text.trim(F.split(title, r"\s*\|\s*", 2)[0])).filter(
+        (F.col("title") != "") & ~labels.is_admin_item(F.col("title"))
+    )
+    dated = text.compute_once(titled, start_wall=text.trim(_found(body, START_ITEM)))
+    dated = text.compute_once(dated, start_datetime=wallclock.parse_wall_time(F.col("start_wall"))).filter(
+        F.col("start_datetime") <= wallclock.instant(horizon_end(now))
     )
     time_text = text.strip_tags(
         F.replace(F.replace(F.regexp_extract(body, TIME_BLOCK, 1), F.lit("&thinsp;"), F.lit(" ")), F.lit("&nbsp;"), F.lit(" "))
     )
-    hour = F.regexp_extract(time_text, END_CLOCK, 1).try_cast("int")
-    is_pm = F.upper(F.regexp_extract(time_text, END_CLOCK, 3)) == "PM"
+    clock = lambda group: F.regexp_extract("time_text", END_CLOCK, group)
+    hour = clock(1).try_cast("int")
+    is_pm = F.upper(clock(3)) == "PM"
     hour24 = F.when(is_pm & (hour != 12), hour + 12).when(~is_pm & (hour == 12), 0).otherwise(hour)
     end_wall = F.concat(
         F.substring("start_wall", 1, 10), F.lit(" "), F.lpad(hour24.cast("string"), 2, "0"), F.lit(":"),
-        F.regexp_extract(time_text, END_CLOCK, 2), F.lit(":00"),
+        clock(2), F.lit(":00"),
     )
     place = F.regexp_replace(F.regexp_extract(body, LOCATION_BLOCK, 1), r"(?is)<a[^>]*>.*?</a>", "")
     location = F.coalesce(
@@ -317,18 +317,22 @@ def calendar_listings(pages: DataFrame, now, base_url: str = "https://www.frisco
         F.lit(fixed.CALENDAR_DEFAULT_LOCATION),
     )
     image = _found(body, IMAGE_META)
-    parsed = titled.select(
+    dated = text.compute_once(
+        dated, time_text=time_text, description=_description(body), location_name=location,
+        raw_cost=text.decode_entities(text.strip_tags(_found(body, PRICE_ITEM))), image=image,
+    )
+    parsed = dated.select(
         F.concat(F.lit("play-frisco-"), F.col("eid")).alias("id"),
         F.lit("play-frisco").alias("source"),
         "title",
-        _description(body).alias("description"),
+        "description",
         "start_datetime",
         F.coalesce(
             wallclock.parse_wall_time(_found(body, END_ITEM)), wallclock.parse_wall_time(end_wall)
         ).alias("end_datetime"),
-        location.alias("location_name"),
-        text.decode_entities(text.strip_tags(_found(body, PRICE_ITEM))).alias("raw_cost"),
-        F.when(image.rlike(REAL_IMAGE), image).alias("thumbnail_url"),
+        "location_name",
+        "raw_cost",
+        F.when(F.col("image").rlike(REAL_IMAGE), F.col("image")).alias("thumbnail_url"),
         F.concat(F.lit(f"{base_url}/Calendar.aspx?EID="), F.col("eid"), F.lit("&view=detail")).alias("event_url"),
         F.col("fetched_at").alias("ingested_at"),
         F.col("eid").cast("bigint").alias("seq"),
@@ -355,8 +359,7 @@ def with_cost_price(rows: DataFrame) -> DataFrame:
     fallback = prices.fallback_price(F.col("title"), F.col("description"), F.col("registration_required"))
     locked = F.col("price_locked")
     return (
-        rows.withColumn("stated", stated)
-        .withColumn("fallback", fallback)
+        text.compute_once(rows, stated=stated, fallback=fallback)
         .withColumn("price_locked", F.col("stated").isNotNull())
         .withColumn("price_class", F.coalesce(F.col("stated"), F.col("fallback.price_class")))
         .withColumn("price_confidence", F.when(locked, "confirmed").otherwise(F.col("fallback.price_confidence")))
@@ -384,10 +387,12 @@ def park_listings(pages: DataFrame) -> DataFrame:
             F.col("page_no") <= F.greatest(F.lit(1), F.coalesce(F.try_variant_get("doc", "$.total_pages", "int"), F.lit(1)))
         )
         .select("page_no", "fetched_at", F.posexplode(F.try_variant_get("doc", "$.events", "array<variant>")).alias("pos", "event"))
-        .withColumn("start_datetime", wallclock.iso_wall_time(event("start_date")))
-        .withColumn("title", text.decode_entities(F.coalesce(event("title"), F.lit(""))))
-        .filter(F.col("start_datetime").isNotNull() & (F.col("title") != ""))
     )
+    events = text.compute_once(
+        events,
+        start_datetime=wallclock.iso_wall_time(event("start_date")),
+        title=text.decode_entities(F.coalesce(event("title"), F.lit(""))),
+    ).filter(F.col("start_datetime").isNotNull() & (F.col("title") != ""))
     number = lambda path, default: F.coalesce(F.nullif(event(path, "double"), F.lit(0.0)), F.lit(default))
     cost = F.when(F.schema_of_variant(event("cost", "variant")) == "STRING", text.trim(event("cost")))
     parsed = events.select(
