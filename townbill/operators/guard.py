@@ -71,24 +71,21 @@ def guard_verdict(
 ) -> DataFrame:
     """One row with all counts, the abort decision and its reasons.
 
-    Three single-row measures are stacked and summed, so no join between them is needed.
+    Three single-row measures are stacked and folded into one, so no join between them is needed.
     """
     t = thresholds
     screened = with_screen(batch, zone)
     shift = _shift_measures(_shift_counts(screened.filter(~F.col("implausible")), stored), t)
-    # a batch read without an order has no first row; the least title stands for it
-    example = F.min_by("title", F.col("seq") if "seq" in batch.columns else F.col("title")) if "title" in batch.columns else F.lit(None)
-    bad = screened.agg(F.count("*").alias("incoming"), F.count_if("implausible").alias("dropped"))
-    named = screened.filter("implausible").agg(example.cast("string").alias("example"))
-    held = stored.agg(F.count("*").alias("stored"))
-    stacked = (
-        shift.unionByName(bad, allowMissingColumns=True)
-        .unionByName(named, allowMissingColumns=True)
-        .unionByName(held, allowMissingColumns=True)
-    )
-    one = stacked.agg(
-        *[F.max(c).alias(c) for c in stacked.columns],
+    title = F.col("title").cast("string") if "title" in batch.columns else F.lit(None).cast("string")
+    order = F.col("seq") if "seq" in batch.columns else title
+    bad = screened.agg(
+        F.count("*").alias("incoming"),
+        F.count_if("implausible").alias("dropped"),
+        F.min_by(title, F.when(F.col("implausible"), order)).alias("example"),
     )
+    held = stored.agg(F.count("*").alias("stored"))
+    stacked = shift.unionByName(bad, allowMissingColumns=True).unionByName(held, allowMissingColumns=True)
+    one = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     n_in, n_drop, n_stored = F.col("incoming"), F.col("dropped"), F.col("stored")
     one = _with_shift_verdict(one, t).withColumn("kept", n_in - n_drop)
     share = safe_ratio(n_drop, n_in)

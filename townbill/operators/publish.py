@@ -34,13 +34,20 @@ def keyword_cleanup(stored: DataFrame, words, title: str = "title") -> DataFrame
 def next_snapshot(
     stored: DataFrame, write: DataFrame, scraped: DataFrame | None = None, cleanup_words=(), purge: bool = False
 ) -> DataFrame:
-    """Upsert, keyword clean-up and purge of one source, for a batch that was not aborted."""
-    rows = upsert(stored, write)
-    if cleanup_words:
-        rows = keyword_cleanup(rows, cleanup_words)
+    """Upsert, keyword clean-up and purge of one source, for a batch that was not aborted.
+
+    The written rows are among the scraped ones. Ids of both are marked in one narrow table, so
+    the stored rows, the large side, take part in a single join.
+    """
+    marks = write.select("id", F.lit(True).alias("written"))
     if purge and scraped is not None:
-        rows = purge_stale(rows, scraped)
-    return rows
+        marks = marks.unionByName(scraped.select("id", F.lit(False).alias("written")))
+        kept = F.col("written") == F.lit(False)
+    else:
+        kept = F.col("written").isNull()
+    marks = marks.groupBy("id").agg(F.bool_or("written").alias("written"))
+    rows = stored.join(marks, "id", "left").filter(kept).drop("written").unionByName(write)
+    return keyword_cleanup(rows, cleanup_words) if cleanup_words else rows
 
 
 def run_status(upserted: Column, errors: Column) -> Column:
