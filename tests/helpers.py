@@ -45,3 +45,8 @@ def one(df) -> dict:
     rows = dicts(df)
     assert len(rows) == 1
     return rows[0]
+
+
+def plan_of(df) -> str:
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)

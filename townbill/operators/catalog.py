@@ -14,7 +14,7 @@ from townbill.functions.wallclock import day_start, instant, today_cutoff
 
 def kid_gate() -> Column:
     """Only an explicit 'not relevant' hides a row."""
-    return F.coalesce(F.col("kid_relevant"), F.lit(True))
+    return F.col("kid_relevant").isNull() | (F.col("kid_relevant") == F.lit(True))
 
 
 def adult_gate(adult_age: int = fixed.ADULT_AGE) -> Column:

@@ -85,8 +85,7 @@ def run_source(
     """
     rule, errors = rules[source], list(errors)
     stored = tables.scan_catalogue(spark, catalogue_path, sources=[source])
-    batch = batch if "seq" in batch.columns else batch.withColumn("seq", F.monotonically_increasing_id())
-    rows = materialise(batch)
+    rows = materialise(tables.as_batch(batch))
     calls, capped, scraped = 0, False, rows
     if rule.classified:
         if answers_for is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from townbill import fixed, schemas
 from townbill.functions.wallclock import as_utc
@@ -18,19 +19,27 @@ def scan_catalogue(spark: SparkSession, path: str, columns=None, sources=None) -
     return rows.select(*columns) if columns else rows
 
 
-def as_listings(df: DataFrame) -> DataFrame:
-    """The catalogue columns in order, with typed nulls for those the frame lacks."""
-    from pyspark.sql.types import StructType
-
+def as_listings(df: DataFrame, *extras: str) -> DataFrame:
+    """The catalogue columns in order, with typed nulls for those the frame lacks, then the extras."""
     have = set(df.columns)
     return df.select(
         *[
             (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in StructType.fromDDL(schemas.LISTINGS).fields
-        ]
+        ],
+        *extras,
     )
 
 
+def as_batch(df: DataFrame) -> DataFrame:
+    """Parsed listings as a batch: catalogue columns, batch order and the price lock."""
+    if "seq" not in df.columns:
+        df = df.withColumn("seq", F.monotonically_increasing_id())
+    if "price_locked" not in df.columns:
+        df = df.withColumn("price_locked", F.lit(False))
+    return as_listings(df, "seq", "price_locked")
+
+
 def recent_export(export: DataFrame, today, days: int = fixed.ANALYTICS_DAYS) -> DataFrame:
     """Export rows of the last days; with event_date as partition column this prunes folders."""
     first = as_utc(today).date() - dt.timedelta(days=days)
