@@ -7,7 +7,11 @@ from pyspark.sql import Column, functions as F
 from townbill.bindings.enriching import AUDIENCES, audience_taxonomy
 from townbill.bindings.registry import query, table
 from townbill.bindings.views import pick, sql_stamp, stamp
+from townbill.operators import guard, publish
+from townbill.plans.ingest import prepare
+from townbill.session import materialise
 from townbill.sources import landings
+from townbill.sources.tables import as_batch, as_listings
 
 TWO_PASS = "g + (g - ((g AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago'))"
 
@@ -294,3 +298,27 @@ def park_listings(spark, sf):
         "id", "title", "description", stamp("start_datetime").alias("start_text"), stamp("end_datetime").alias("end_text"),
         "location_name", "location_address", "location_lat", "location_lng", "price_class", "price_locked", "thumbnail_url", "event_url",
     )
+
+
+# ---- a whole night ----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH s AS (SELECT k, {TWO_PASS} AS st FROM (SELECT o_orderkey AS k, o_orderdate + INTERVAL 9 HOUR AS g FROM orders) WHERE k % 17 <> 0 AND k % 19 <> 0)
+    SELECT 'kaleidoscope-park-' || k AS id, {sql_stamp('st')} AS start_text, 'Park – trail ' || k AS title, false AS is_recurring,
+      CASE k % 5 WHEN 1 THEN 'paid' ELSE 'free' END AS price_class FROM s"""
+)
+def nightly_snapshot(spark, sf):
+    """Payload pages to listings, merged, screened against two thirds of them, upserted and purged.
+
+    As in a real run, the parsed rows and the merged batch are written once and read from there.
+    """
+    scraped = materialise(as_batch(landings.park_listings(payload_pages(spark, sf))))
+    batch = materialise(prepare(scraped))
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
+    known = as_listings(scraped.filter(k % 3 < 2).withColumn("title", F.lit("stored")).withColumn("price_class", F.lit("unknown")))
+    gone = known.filter(k % 2 == 0).withColumn("id", F.concat("id", F.lit("-gone")))
+    stored = known.unionByName(gone)
+    write = as_listings(guard.write_set(batch, guard.guard_verdict(batch, stored)))
+    snapshot = publish.next_snapshot(stored, write, scraped, purge=True)
+    return snapshot.select("id", stamp("start_datetime").alias("start_text"), "title", "is_recurring", "price_class")

@@ -90,18 +90,18 @@ def _decode_runs(c: Column, run: str, unit: str, to_hex) -> Column:
 def decode_entities(c: Column) -> Column:
     """Named entities in their fixed order, then numeric ones, then white space."""
 
-    def named(t: Column) -> Column:
+    hex_unit = lambda h: F.right(F.concat(F.lit("000"), h), F.lit(4))
+    dec_unit = lambda d: hex_unit(F.hex((F.coalesce(d.try_cast("decimal(38,0)"), F.lit(0)) % 65536).cast("bigint")))
+
+    def decoded(t: Column) -> Column:
         out = t
         for name, char in fixed.ENTITIES:
             out = F.replace(out, F.lit(name), F.lit(char))
+        out = let(out, lambda u: _decode_runs(u, HEX_RUN, r"&#x([0-9a-fA-F]+);", hex_unit))
+        out = let(out, lambda u: _decode_runs(u, DEC_RUN, r"&#(\d+);", dec_unit))
         return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
 
-    c = let(c, named)
-    hex_unit = lambda h: F.right(F.concat(F.lit("000"), h), F.lit(4))
-    dec_unit = lambda d: hex_unit(F.hex((F.coalesce(d.try_cast("decimal(38,0)"), F.lit(0)) % 65536).cast("bigint")))
-    c = let(c, lambda t: _decode_runs(t, HEX_RUN, r"&#x([0-9a-fA-F]+);", hex_unit))
-    c = let(c, lambda t: _decode_runs(t, DEC_RUN, r"&#(\d+);", dec_unit))
-    return collapse(c)
+    return collapse(let(c, decoded))
 
 
 def holds_any(lowered: Column, words) -> Column:

@@ -203,8 +203,8 @@ def top_items(tallies: DataFrame, n: int = 10, by: str = "attending") -> DataFra
 def with_titles(top: DataFrame, listings: DataFrame) -> DataFrame:
     """Titles and sources for a short list of items; items without a listing keep nulls.
 
-    The short list, bounded by its own limit, is the broadcast side of the scan over listings.
+    The list's limit bounds its size, which lets the planner broadcast it to the listings scan.
     """
-    wanted = F.broadcast(top.select(F.col("event_id").alias("id")))
+    wanted = top.select(F.col("event_id").alias("id"))
     found = listings.select("id", "title", "source").join(wanted, "id", "left_semi")
     return top.join(found.withColumnRenamed("id", "event_id"), "event_id", "left")

@@ -20,14 +20,15 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(first).select(*keys, "first.*").select(*df.columns)
 
 
-def merge_by_id(batch: DataFrame, seq: str = "seq") -> DataFrame:
+def merge_by_id(batch: DataFrame, seq: str = "seq", spread: int = 16) -> DataFrame:
     """One row per id: the first row wins and its age range widens over the later ones.
 
     Rows in `seq` order widen the range when both their bounds are known, until the running
     lowest age is exactly 18, which then stays. As the running minimum only falls, it can
     halt at 18 only if no earlier row was lower: the position of the first 18 and of the
     first lower age decide that, so the ordered merge becomes aggregates plus, for the ids
-    that halt after their first row, one more maximum over their rows up to the halt.
+    that halt after their first row, one more maximum over their rows up to the halt. That
+    step's join is spread over `spread` salts, so the rows of one id go to several tasks.
     """
     adult = fixed.ADULT_AGE
     others = [c for c in batch.columns if c != "id"]
@@ -47,11 +48,12 @@ def merge_by_id(batch: DataFrame, seq: str = "seq") -> DataFrame:
         .when(F.col("at_lower").isNull() | (F.col("at_adult") < F.col("at_lower")), F.col("at_adult"))
     )
     merged = merged.withColumn("halt", halt)
-    halted = merged.filter(F.col("halt").isNotNull()).select("id", "halt")
+    salts = F.array(*[F.lit(i) for i in range(spread)])
+    halted = merged.filter(F.col("halt").isNotNull()).select("id", "halt", F.explode(salts).alias("salt"))
     capped = (
         ranged.filter(both)
-        .select("id", seq, "age_max")
-        .join(halted, "id")
+        .select("id", seq, "age_max", F.pmod(F.hash(seq), F.lit(spread)).alias("salt"))
+        .join(halted, ["id", "salt"])
         .filter(F.col(seq) <= F.col("halt"))
         .groupBy("id")
         .agg(F.max("age_max").alias("high_at_halt"))

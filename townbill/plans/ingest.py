@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -83,7 +84,7 @@ def run_source(
     An empty batch writes nothing and is not an abort, so its clean-up still runs. An aborted
     batch leaves the stored rows exactly as they are.
     """
-    rule, errors = rules[source], list(errors)
+    rule, errors, began = rules[source], list(errors), time.monotonic()
     stored = tables.scan_catalogue(spark, catalogue_path, sources=[source])
     rows = materialise(tables.as_batch(batch))
     calls, capped, scraped = 0, False, rows
@@ -117,11 +118,12 @@ def run_source(
         )
         sinks.replace_source(snapshot, catalogue_path, source)
     result = RunResult(source, fetched, upserted, calls, errors, aborted, capped)
-    sinks.append_run(run_log(spark, result, now, rule), runs_path)
+    took = int((time.monotonic() - began) * 1000)
+    sinks.append_run(run_log(spark, result, now, rule, took), runs_path)
     return result
 
 
-def run_log(spark: SparkSession, result: RunResult, now, rule: SourceRule) -> DataFrame:
+def run_log(spark: SparkSession, result: RunResult, now, rule: SourceRule, duration_ms: int = 0) -> DataFrame:
     fetched: dict[str, Column] = {
         c: F.lit(result.fetched if c == rule.fetched_column else 0)
         for c in ("frisco_fetched", "plano_fetched", "play_frisco_fetched")
@@ -129,7 +131,7 @@ def run_log(spark: SparkSession, result: RunResult, now, rule: SourceRule) -> Da
     base = spark.range(1).select(
         F.lit(str(uuid.uuid4())).alias("id"),
         instant(now).alias("ran_at"),
-        F.lit(0).alias("duration_ms"),
+        F.lit(duration_ms).alias("duration_ms"),
         *[v.alias(c) for c, v in fetched.items()],
         F.lit(result.upserted).alias("total_upserted"),
         F.lit(result.llm_calls).alias("llm_calls"),
