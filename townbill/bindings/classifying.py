@@ -83,7 +83,7 @@ def due_for_classifier(spark, sf):
 
 
 def answers(spark, sf):
-    """Classifier answers as text, one per document, some fenced, some unusable, some missing."""
+    """Classifier answers as text, one per document, some fenced, some unusable, some for unknown ids."""
     d = table(spark, sf, "documents")
     k = F.col("doc_id")
     body = F.concat(
@@ -98,15 +98,17 @@ def answers(spark, sf):
         .when(k % 5 == 1, F.concat(F.lit("Answer: "), body, F.lit(" done")))
         .when(k % 11 == 0, "no idea").otherwise(body)
     )
-    return d.filter(k % 13 != 0).select(F.concat(F.lit("d"), k.cast("string")).alias("id"), answer.alias("answer"))
+    prefix = F.when(k % 13 == 0, "x").otherwise("d")
+    return d.select(F.concat(prefix, k.cast("string")).alias("id"), answer.alias("answer"))
 
 
-USABLE = "(doc_id % 13 <> 0 AND doc_id % 7 <> 0 AND NOT (doc_id % 5 > 1 AND doc_id % 11 = 0))"
+READABLE = "(doc_id % 7 <> 0 AND NOT (doc_id % 5 > 1 AND doc_id % 11 = 0))"
+USABLE = f"({READABLE} AND doc_id % 13 <> 0)"
 
 
 @query(
-    f"""WITH parsed AS (SELECT *, {USABLE} AS ok FROM documents WHERE doc_id % 13 <> 0)
-    SELECT 'd' || doc_id AS id, CASE WHEN ok THEN doc_id % 2 = 0 END AS kid_relevant,
+    f"""WITH parsed AS (SELECT *, {READABLE} AS ok FROM documents)
+    SELECT CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE 'd' END || doc_id AS id, CASE WHEN ok THEN doc_id % 2 = 0 END AS kid_relevant,
            CASE WHEN ok THEN CASE WHEN doc_id % 2 = 0 THEN ['kids', 'teen'] ELSE CAST([] AS VARCHAR[]) END END AS age_buckets,
            CASE WHEN ok THEN CASE WHEN doc_id % 7 = 1 THEN 'low' ELSE 'high' END END AS age_confidence,
            CASE WHEN ok THEN CASE doc_id % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'paid' ELSE 'unknown' END END AS price,

@@ -80,7 +80,7 @@ def listing_cards(spark, sf):
 
 
 def card_details(spark, sf):
-    """A detail document for two of three ids, some without known audiences or description."""
+    """Detail documents, a third for ids no card has, some without known audiences or description."""
     k = F.col("o_orderkey")
     audience = lambda n: cat('"a', text_of(n), '"')
     body = cat(
@@ -88,9 +88,8 @@ def card_details(spark, sf):
         '],"description":', F.when(k % 4 == 0, '"  "').otherwise(cat('"<p>Register for <b>art &amp; craft</b></p> no ', text_of(k), '"')),
         ',"featured_image_id":"i', text_of(k), '"}}}',
     )
-    return table(spark, sf, "orders").filter((k % 2 == 0) & (k % 3 != 1)).select(
-        cat("e", text_of(k)).alias("event_id"), body.alias("body")
-    )
+    prefix = F.when((k % 2 == 0) & (k % 3 != 1), "e").otherwise("x")
+    return table(spark, sf, "orders").select(cat(prefix, text_of(k)).alias("event_id"), body.alias("body"))
 
 
 def library(spark, sf):
@@ -171,8 +170,9 @@ def feed_pages(spark, sf):
 
 def feed_details(spark, sf):
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").filter(k % 5 != 0).select(
-        cat("https://plano.example.org/event/", text_of(k)).alias("url"), pick(k % 3, AGE_BLOCKS).alias("body")
+    path = F.when(k % 5 == 0, "other").otherwise("event")
+    return table(spark, sf, "orders").select(
+        cat("https://plano.example.org/", path, "/", text_of(k)).alias("url"), pick(k % 3, AGE_BLOCKS).alias("body")
     )
 
 
@@ -309,16 +309,18 @@ def park_listings(spark, sf):
       CASE k % 5 WHEN 1 THEN 'paid' ELSE 'free' END AS price_class FROM s"""
 )
 def nightly_snapshot(spark, sf):
-    """Payload pages to listings, merged, screened against two thirds of them, upserted and purged.
+    """Payload pages to listings, merged, screened against the stored rows, upserted and purged.
 
     As in a real run, the parsed rows and the merged batch are written once and read from there.
     """
     scraped = materialise(as_batch(landings.park_listings(payload_pages(spark, sf))))
     batch = materialise(prepare(scraped))
     k = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
-    known = as_listings(scraped.filter(k % 3 < 2).withColumn("title", F.lit("stored")).withColumn("price_class", F.lit("unknown")))
-    gone = known.filter(k % 2 == 0).withColumn("id", F.concat("id", F.lit("-gone")))
-    stored = known.unionByName(gone)
+    # of the stored rows a third is under ids that are no longer published
+    stored_id = F.when(k % 3 < 2, F.col("id")).otherwise(F.concat("id", F.lit("-gone")))
+    stored = as_listings(
+        scraped.withColumn("title", F.lit("stored")).withColumn("price_class", F.lit("unknown")).withColumn("id", stored_id)
+    )
     write = as_listings(guard.write_set(batch, guard.guard_verdict(batch, stored)))
     snapshot = publish.next_snapshot(stored, write, scraped, purge=True)
     return snapshot.select("id", stamp("start_datetime").alias("start_text"), "title", "is_recurring", "price_class")
