@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from townbill.bindings.registry import query, table
+from townbill.bindings.registry import query, spread, table
 from townbill.bindings.views import DOCUMENTS, LISTINGS, document_listings, order_listings, pick, sql_stamp, stamp
 from townbill.functions import ages, labels, prices, text, wallclock
 from townbill.sources import landings
@@ -86,7 +86,7 @@ PRICE_TEXTS = (
 
 
 def priced_orders(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     k = F.col("o_orderkey")
     return o.select(
         k.alias("id"), F.col("o_orderpriority").alias("title"), pick(k % 10, PRICE_TEXTS).alias("description"),
@@ -282,7 +282,7 @@ def page_links(spark, sf):
 @query("SELECT page_id, " + sql_collapse("regexp_replace(html, '<[^>]*>', ' ', 'g')") + " AS plain, "
        "regexp_replace(html, '<[^>]+>', '', 'g') AS stripped FROM pages")
 def page_text(spark, sf):
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages")).select(
         "page_id", text.plain_text(F.col("html")).alias("plain"), text.strip_tags(F.col("html")).alias("stripped")
     )
 
@@ -298,12 +298,12 @@ def sql_entities(c: str) -> str:
 
 @query(f"SELECT page_id, {sql_entities('html')} AS decoded FROM pages")
 def decode_entities(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.decode_entities(F.col("html")).alias("decoded"))
+    return spread(table(spark, sf, "pages")).select("page_id", text.decode_entities(F.col("html")).alias("decoded"))
 
 
 @query(f"SELECT doc_id, {sql_collapse('lower(text)')} AS norm FROM documents")
 def normalise_titles(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalise_title(F.col("text")).alias("norm"))
+    return spread(table(spark, sf, "documents")).select("doc_id", text.normalise_title(F.col("text")).alias("norm"))
 
 
 CLUTTER = ("<p>Monday, August 14 2026 9:30am - 10:15am Songs &amp; rhymes</p> Read on", "Plain words", " Read on ", "Read on the bus")
@@ -326,7 +326,7 @@ def sql_uri(c: str) -> str:
 
 @query(f"SELECT page_id, {sql_uri(chr(117) + 'rl')} AS encoded, {sql_uri('html')} AS encoded_html FROM pages")
 def encoded_urls(spark, sf):
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages")).select(
         "page_id", text.encode_uri(F.col("url")).alias("encoded"), text.encode_uri(F.col("html")).alias("encoded_html")
     )
 
@@ -354,7 +354,7 @@ def venue_and_titles(spark, sf):
 )
 def meta_descriptions(spark, sf):
     meta = text.meta_description(F.col("text"), F.lit("Hall"), F.lit(True), F.lit("Plano"))
-    return table(spark, sf, "documents").select("doc_id", meta.alias("meta"))
+    return spread(table(spark, sf, "documents")).select("doc_id", meta.alias("meta"))
 
 
 # ---- clocks -----------------------------------------------------------------------------
@@ -376,7 +376,7 @@ def wall_time_utc(spark, sf):
         .when(k % 5 == 3, F.date_format(at, "yyyy-MM-dd"))
         .otherwise("to be announced")
     )
-    return table(spark, sf, "orders").select(k.alias("id"), stamp(wallclock.parse_wall_time(said)).alias("utc"))
+    return spread(table(spark, sf, "orders")).select(k.alias("id"), stamp(wallclock.parse_wall_time(said)).alias("utc"))
 
 
 @query(
@@ -385,7 +385,7 @@ def wall_time_utc(spark, sf):
 def wall_time_exact(spark, sf):
     said = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 13:00"))
     utc = wallclock.parse_wall_time(said, exact=True)
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), stamp(utc).alias("utc"))
+    return spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("id"), stamp(utc).alias("utc"))
 
 
 # months, days and hours past their range run on
@@ -398,7 +398,7 @@ def overflowing_fields(spark, sf):
     k = F.col("o_orderkey").cast("int")
     zero = F.lit(0)
     utc = wallclock.wall_to_utc(F.lit(2020), k % 20 + 1, k % 45 + 1, k % 30, zero, zero)
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), stamp(utc).alias("utc"))
+    return spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("id"), stamp(utc).alias("utc"))
 
 
 LOCAL_START = "((start_datetime AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from townbill.bindings.enriching import AUDIENCES, audience_taxonomy
-from townbill.bindings.registry import query, table
+from townbill.bindings.registry import query, spread, table
 from townbill.bindings.views import pick, sql_stamp, stamp
 from townbill.operators import guard, publish
 from townbill.plans.ingest import prepare
@@ -226,7 +226,7 @@ def calendar_pages(spark, sf):
         ),
         "</html>",
     )
-    return table(spark, sf, "orders").select(text_of(k).alias("eid"), day.alias("fetched_at"), body.alias("body"))
+    return spread(table(spark, sf, "orders")).select(text_of(k).alias("eid"), day.alias("fetched_at"), body.alias("body"))
 
 
 @query(

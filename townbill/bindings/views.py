@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from townbill.bindings.registry import table
+from townbill.bindings.registry import spread, table
 
 # ---- events as analytics rows -----------------------------------------------------------
 
@@ -160,7 +160,7 @@ CUTOFF = "TIMESTAMP '1998-06-15 05:00:00'"
 
 
 def document_listings(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     k = F.col("doc_id")
     return d.select(
         F.col("doc_id").alias("seq"),
