@@ -34,6 +34,17 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", EDGE)
 
 
+def words_array(words) -> Column:
+    """A constant array of strings."""
+    return F.split(F.lit("\u0001".join(words)), "\u0001", -1)
+
+
+def replace_all(c: Column, pairs) -> Column:
+    """Replace each first string by its second, one pair after the other."""
+    olds, news = (words_array(side) for side in zip(*pairs))
+    return F.reduce(F.arrays_zip(olds, news), c, lambda text, pair: F.replace(text, pair["0"], pair["1"]))
+
+
 def let(c: Column, body) -> Column:
     """Evaluate c once and hand it to body as a variable."""
     return F.transform(F.array(c), body)[0]
@@ -94,10 +105,7 @@ def decode_entities(c: Column) -> Column:
     dec_unit = lambda d: hex_unit(F.hex((F.coalesce(d.try_cast("decimal(38,0)"), F.lit(0)) % 65536).cast("bigint")))
 
     def decoded(t: Column) -> Column:
-        out = t
-        for name, char in fixed.ENTITIES:
-            out = F.replace(out, F.lit(name), F.lit(char))
-        out = let(out, lambda u: _decode_runs(u, HEX_RUN, r"&#x([0-9a-fA-F]+);", hex_unit))
+        out = let(replace_all(t, fixed.ENTITIES), lambda u: _decode_runs(u, HEX_RUN, r"&#x([0-9a-fA-F]+);", hex_unit))
         out = let(out, lambda u: _decode_runs(u, DEC_RUN, r"&#(\d+);", dec_unit))
         return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
 
@@ -106,7 +114,9 @@ def decode_entities(c: Column) -> Column:
 
 def holds_any(lowered: Column, words) -> Column:
     """Does the text, lower-cased already, hold any of the words, anywhere?"""
-    return reduce(or_, [F.contains(lowered, F.lit(w)) for w in words])
+    if len(words) < 3:
+        return reduce(or_, [F.contains(lowered, F.lit(w)) for w in words])
+    return F.exists(words_array(words), lambda w: F.contains(lowered, w))
 
 
 def contains_any(c: Column, words) -> Column:
@@ -150,10 +160,7 @@ KEPT_IN_URI = ";,/?:@&=+$!~'()#"
 
 
 def encode_uri(c: Column) -> Column:
-    c = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
-    for ch in KEPT_IN_URI:
-        c = F.replace(c, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
-    return c
+    return replace_all(F.url_encode(c), [("+", "%20"), *((f"%{ord(ch):02X}", ch) for ch in KEPT_IN_URI)])
 
 
 def short_venue(location: Column, city_label: Column) -> Column:
