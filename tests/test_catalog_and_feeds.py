@@ -1,9 +1,12 @@
 import json
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import column, dicts, listings, one, plan_of, table, utc
 from townbill import schemas
+from townbill.functions import wallclock
 from townbill.operators import catalog, pipeline_metrics
 from townbill.plans.dashboard import technical_metrics
 from townbill.sources import feeds, sinks, tables
@@ -95,8 +98,8 @@ def visible(spark):
 
 def runs(spark):
     return table(spark, schemas.INGEST_RUNS, [
-        dict(id="r1", ran_at=utc("2026-07-20T10:00:00Z"), status="ok", llm_calls=5, llm_cost_usd=__import__("decimal").Decimal("0.03"), errors=[]),
-        dict(id="r2", ran_at=utc("2026-07-21T10:00:00Z"), status="warn", llm_calls=2, llm_cost_usd=__import__("decimal").Decimal("0.012"), errors=["x"]),
+        dict(id="r1", ran_at=utc("2026-07-20T10:00:00Z"), status="ok", llm_calls=5, llm_cost_usd=Decimal("0.03"), errors=[]),
+        dict(id="r2", ran_at=utc("2026-07-21T10:00:00Z"), status="warn", llm_calls=2, llm_cost_usd=Decimal("0.012"), errors=["x"]),
         dict(id="r0", ran_at=utc("2026-07-21T09:00:00Z"), status="ok", errors=[]),
     ])
 
@@ -170,3 +173,27 @@ def test_sitemap_and_lists(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "json")).count() == 62
     feeds.write_text_feed(feeds.calendar_feed(rows, F.col("ingested_at")), str(tmp_path / "ics"), "ics")
     assert spark.read.parquet(str(tmp_path / "ics")).count() == 62
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/Chicago"])
+def test_results_do_not_depend_on_the_session_zone(spark, zone):
+    rows = listings(spark, [dict(id="a", end_datetime=at("08-14", 16)), dict(id="b", source="plano-library", start_datetime=at("11-01", 2))])
+    stamp = wallclock.instant("2026-07-24T15:00:00Z")
+
+    def results():
+        return [
+            dicts(df.orderBy(df.columns[0]))
+            for df in (
+                feeds.structured_feed(rows), feeds.calendar_feed(rows, stamp), feeds.item_lists(rows, NOW),
+                catalog.search_listings(rows, NOW, date_to="2026-12-01").select("id"), pipeline_metrics.status_history(runs(spark), "2026-07-21"),
+                rows.select("id", wallclock.short_when(F.col("start_datetime")), wallclock.long_when(F.col("start_datetime"), F.col("end_datetime"))),
+                rows.groupBy(wallclock.week_of(F.col("start_datetime")).alias("week")).count(),
+            )
+        ]
+
+    want = results()
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert results() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

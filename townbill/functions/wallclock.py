@@ -1,7 +1,7 @@
 """Wall-clock parsing, local-time tests and day boundaries.
 
-Everything here works on epoch arithmetic, so results do not depend on the session time zone
-(display strings, which format dates, expect it pinned to UTC).
+Everything here works on epoch arithmetic or names its zone, so results do not depend on the
+session time zone.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def wall_to_utc(year, month, day, hour, minute, second, zone: str = fixed.LOCAL_
     is an hour off for a few hours around each clock change; exact=True uses the zone rules.
     """
     first = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1)
-    days = F.datediff(first, F.lit("1970-01-01").cast("date")) + day - 1
+    days = F.unix_date(first) + day - 1
     guess = ((days.cast("bigint") * 24 + hour) * 60 + minute) * 60 + second
     as_if_utc = F.timestamp_seconds(guess)
     if exact:
@@ -127,10 +127,17 @@ def implausible_start(
     return F.coalesce((second >= 60) & (second < earliest_hour * 3600), F.lit(unknown_is_bad))
 
 
+def utc_date(ts: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
+
+
+def utc_text(ts: Column, pattern: str) -> Column:
+    """Format an instant as UTC: it is moved to the session's reading of the same wall time first."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), pattern)
+
+
 def local_date(ts: Column, zone: str = fixed.LOCAL_ZONE) -> Column:
-    return F.date_add(
-        F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(F.from_utc_timestamp(ts, zone)) / 86400).cast("int")
-    )
+    return utc_date(F.from_utc_timestamp(ts, zone))
 
 
 def spans_days(start: Column, end: Column, zone: str = fixed.LOCAL_ZONE) -> Column:
@@ -138,7 +145,7 @@ def spans_days(start: Column, end: Column, zone: str = fixed.LOCAL_ZONE) -> Colu
 
 
 def local_text(ts: Column, pattern: str, zone: str = fixed.LOCAL_ZONE) -> Column:
-    return F.date_format(F.from_utc_timestamp(ts, zone), pattern)
+    return utc_text(F.from_utc_timestamp(ts, zone), pattern)
 
 
 def short_when(start: Column, zone: str = fixed.LOCAL_ZONE) -> Column:
@@ -159,4 +166,4 @@ def long_when(start: Column, end: Column, zone: str = fixed.LOCAL_ZONE) -> Colum
 def week_of(ts: Column) -> Column:
     """Monday of the UTC week, as a date."""
     days = F.floor(F.unix_seconds(ts) / 86400)
-    return F.date_add(F.lit("1970-01-01").cast("date"), (days - F.pmod(days + 3, F.lit(7))).cast("int"))
+    return F.date_from_unix_date((days - F.pmod(days + 3, F.lit(7))).cast("int"))

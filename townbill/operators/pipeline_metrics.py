@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from townbill import fixed
 from townbill.functions.ages import age_badge
-from townbill.functions.wallclock import as_utc
+from townbill.functions.wallclock import as_utc, instant, utc_date
 
 
 def source_totals(listings: DataFrame, sources=fixed.COUNTED_SOURCES) -> DataFrame:
@@ -78,10 +78,11 @@ def status_history(runs: DataFrame, today, days: int = 14, ranks: dict = fixed.S
     last = as_utc(today).date()
     first = last - dt.timedelta(days=days - 1)
     spine = runs.sparkSession.range(days).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("day"))
+    ran_at = F.col("ran_at")
     names = F.array(*[F.lit(s) for s, _ in sorted(ranks.items(), key=lambda e: e[1])])
     worst = (
-        runs.select(F.to_date("ran_at").alias("day"), status_rank(F.col("status"), ranks).alias("rank"))
-        .filter(F.col("day").between(F.lit(first), F.lit(last)))
+        runs.filter((ran_at >= instant(first)) & (ran_at < instant(last + dt.timedelta(days=1))))
+        .select(utc_date(ran_at).alias("day"), status_rank(F.col("status"), ranks).alias("rank"))
         .groupBy("day")
         .agg(F.max("rank").alias("rank"))
     )

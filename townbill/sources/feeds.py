@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from townbill import fixed
 from townbill.functions import text
 from townbill.functions.ages import typical_age_range
+from townbill.functions.wallclock import utc_text
 from townbill.operators.catalog import for_city, indexable, upcoming, with_source_dim
 
 DEFAULT_SITE = "https://listings.example.org"
@@ -29,7 +30,7 @@ def sitemap(indexed: DataFrame, site: str = DEFAULT_SITE, cities=tuple(fixed.CIT
 
 
 def iso_instant(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return utc_text(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def structured_feed(listings: DataFrame, site: str = DEFAULT_SITE) -> DataFrame:
@@ -77,7 +78,7 @@ def structured_feed(listings: DataFrame, site: str = DEFAULT_SITE) -> DataFrame:
 
 
 def calendar_stamp(ts: Column) -> Column:
-    return F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")
+    return utc_text(ts, "yyyyMMdd'T'HHmmss'Z'")
 
 
 def escape_calendar_text(c: Column) -> Column:

@@ -76,7 +76,7 @@ def extract_cards(pages: DataFrame) -> DataFrame:
         text.decode_entities(text.trim(text.strip_tags(_found(card, CARD_TITLE)))).alias("title"),
         text.trim(F.regexp_extract(card, CARD_MONTH, 1)).alias("month"),
         text.trim(F.regexp_extract(card, CARD_DAY, 1)).alias("day"),
-        F.coalesce(_found(card, CARD_YEAR), F.year("fetched_at").cast("string")).alias("year"),
+        F.coalesce(_found(card, CARD_YEAR), F.year(wallclock.utc_date(F.col("fetched_at"))).cast("string")).alias("year"),
         text.trim(F.split(F.regexp_extract(card, CARD_TIME, 1), "–")[0]).alias("clock"),
         F.coalesce(text.blank_to_null(text.trim(_found(card, CARD_LOCATION))), F.lit(fixed.CARD_DEFAULT_LOCATION)).alias(
             "location_name"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from townbill import schemas
+from townbill.functions.wallclock import utc_date
 from townbill.operators.quality import enforce
 from townbill.session import materialise
 from townbill.sources.tables import as_listings
@@ -43,7 +44,7 @@ def replace_source(rows: DataFrame, path: str, source: str) -> int:
 
 def append_run(row: DataFrame, path: str) -> None:
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schemas.INGEST_RUNS).fields]
-    row.select(*typed).withColumn("run_date", F.to_date("ran_at")).write.mode("append").partitionBy("run_date").parquet(path)
+    row.select(*typed).withColumn("run_date", utc_date(F.col("ran_at"))).write.mode("append").partitionBy("run_date").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from townbill import fixed
+from townbill.functions.wallclock import utc_date
 from townbill.plans.ingest import RULES, run_source
 
 
@@ -65,5 +66,5 @@ def weekly_active_stream(
         .withWatermark("ts", lateness)
         .groupBy(week.alias("span"), "visitor_id")
         .agg(F.count("*").alias("conversions"))
-        .select(F.to_date("span.start").alias("week"), "visitor_id", "conversions")
+        .select(utc_date(F.col("span.start")).alias("week"), "visitor_id", "conversions")
     )
