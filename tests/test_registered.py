@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from townbill.bindings import registry
 from compare import compare, duck
 from helpers import plan_of
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+entry_module.queries()
+QUERIES, SQL = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
