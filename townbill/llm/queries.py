@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townbill.llm import common, language_id, mixing, packing, quality_rules, token_counts, token_files
+from townbill.llm import common, language_id, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, token_files
 from townbill.session import pin_session
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,3 +71,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sizes_of(table(spark, sf_dir, "documents"))
     rows = mixing.mix(sizes, mixing.plan(sizes, [5, 2, 1]))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+@query()
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
