@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townbill.llm import common, language_id, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, token_files
+from townbill.llm import common, jaccard_join, language_id, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, token_files, vector_dedup
 from townbill.session import pin_session
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,3 +83,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+
+
+@query()
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
