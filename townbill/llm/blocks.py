@@ -22,12 +22,15 @@ ODD = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 
 
-def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) with null texts empty, dealt evenly by hash, and the bytes of all texts."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(block, doc_id, text, row) with null texts empty, dealt evenly by hash, and the bytes of all texts.
+
+    `row` holds the columns in `carry`, whatever their names.
+    """
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*[docs[c] for c in carry] or [F.lit(None).cast("int").alias("none")]).alias("row"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = common.pieces_for(size, block_bytes)
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), "doc_id", "text"), size
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), "doc_id", "text", "row"), size
 
 
 @dataclass
@@ -38,6 +41,7 @@ class Block:
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    rows: pa.ChunkedArray
 
     @staticmethod
     def of(table: pa.Table) -> Block:
@@ -47,7 +51,7 @@ class Block:
         at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
         data = np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
         at = at - at[0]
-        return Block(table.column("doc_id"), data, at[:-1], at[1:])
+        return Block(table.column("doc_id"), data, at[:-1], at[1:], table.column("row"))
 
 
 @lru_cache(maxsize=1)

@@ -187,7 +187,9 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of `docs`.
+    """(doc_id, text_hash, n_shingles, component_id, stays), one row per row of `docs`.
+
+    `stays` marks one text of each component: that of its smallest id, then of its smallest hash.
 
     Null texts and those without words have an empty set and link with nothing; their component is their
     own id. Rows with equal ids are documents of their own. A component of rows without an id has none.
@@ -221,7 +223,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     more = verify(common.stored(pairs, "pairs"), reps, rows, n, percent)
     groups = components(links.unionAll(more))
 
-    named = common.stored(reps.select("cls", "first").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component")), "components")
-    named = named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("cls", "component_id")
-    linked = some.select("doc_id", "n_shingles", "cls").join(named, "cls").select("doc_id", "n_shingles", "component_id")
-    return linked.unionAll(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    named = common.stored(reps.select("cls", "first", first.alias("rep")).join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", "rep", F.coalesce("component", "cls").alias("component")), "components")
+    named = named.join(named.groupBy("component").agg(F.min("first").alias("component_id"), F.min("rep").alias("head")), "component").select("cls", "component_id", "head")
+    stays = F.col("text_hash").eqNullSafe(F.col("head.text_hash")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
+    linked = some.join(named, "cls").select("doc_id", "text_hash", "n_shingles", "component_id", stays.alias("stays"))
+    alone = signed.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return linked.unionAll(alone)
+
+
+def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of `docs` with one document left of each component, and all that have no words.
+
+    Where the same row stands more than once, it stays once.
+    """
+    own = docs.columns
+    told = common.stored(jaccard_components(docs, n, percent), "told").where("stays")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), F.struct(*[docs[c] for c in own]).alias("row"))
+    keys = told.groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("n_shingles"))
+    same = rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["text_hash"] == keys["text_hash"])
+    kept = rows.join(keys, same).select(rows["doc_id"], rows["text_hash"], "row", "n_shingles")
+    empty = kept.where("n_shingles = 0").select("row")
+    return kept.where("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row")).select("row").unionAll(empty).select("row.*")

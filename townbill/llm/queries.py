@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from townbill.llm import common, jaccard_join, language_id, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, token_files, vector_dedup
 from townbill.session import pin_session
 
@@ -92,4 +93,9 @@ def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -30,7 +30,6 @@ LENGTH = 400
 SAMPLES_EACH = 2_000_000
 PART_BYTES = 2 << 20
 SHORT = 16
-RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
 
 
 def cover(length: int) -> tuple[np.ndarray, int]:
@@ -304,7 +303,7 @@ def _sort_bucket(length: int, part_bytes: int):
     return sort_bucket
 
 
-def _remove(length: int):
+def _remove(length: int, as_text: bool):
     def remove(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.Table:
         block = Block.of(docs)
         marks = np.zeros(len(block.data), bool)
@@ -323,21 +322,24 @@ def _remove(length: int):
             else:
                 kept.append(block.data[a:z].tobytes())
                 spans.append([])
+        # bytes of characters that were cut through are no text
+        left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
         return pa.table(
-            {"doc_id": block.ids, "n_bytes": pa.array(block.ends - block.starts), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
+            {"doc_id": block.ids, "row": block.rows, "n_bytes": pa.array(block.ends - block.starts), "kept": left, "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
         )
 
     return remove
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = blocks.BLOCK_BYTES, samples_each: int = SAMPLES_EACH, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, kept, spans): what is left of each text, and the byte spans removed.
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = blocks.BLOCK_BYTES, samples_each: int = SAMPLES_EACH, part_bytes: int = PART_BYTES, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, row, n_bytes, kept, spans): what is left of each text, and the byte spans removed.
 
     A byte goes if a `length`-byte string over it also starts at any other place of any text. Null texts
     are empty and keep nothing; equal rows are repeats of each other; null ids are kept as they are. An
-    empty table gives an empty table; other columns are not read.
+    empty table gives an empty table. Of other columns those in `carry` go along, as fields of `row`. With
+    `as_text`, `kept` is text, without the bytes of characters that were cut through.
     """
-    texts, size = blocks.in_blocks(docs, block_bytes=block_bytes)
+    texts, size = blocks.in_blocks(docs, block_bytes=block_bytes, carry=carry)
     d, v = cover(length)
     sample_buckets = common.pieces_for(size * len(d) // v, samples_each)
     suffix_buckets = common.pieces_for(size, 4 * part_bytes)
@@ -346,4 +348,4 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, block_bytes: int = block
     pieces = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_candidates(length, sample_buckets), "piece_key long, block long, offsets array<int>, piece binary")
     dealt = pieces.groupBy(F.pmod(F.xxhash64("piece_key"), F.lit(suffix_buckets)).alias("suffix_bucket"))
     found = dealt.applyInArrow(_sort_bucket(length, part_bytes), "block long, offsets array<int>, n int, bits binary")
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_remove(length), RESULT)
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_remove(length, as_text), f"doc_id long, row {texts.schema['row'].dataType.simpleString()}, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<start:long,end:long>>")
