@@ -112,7 +112,7 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(train: DataFrame, sample: int = 400, per_language: int = 3, reject: float = 0.5) -> Model | None:
+def fit(train: DataFrame, sample: int = 400, per_language: int = 3, reject: float = 0.25) -> Model | None:
     """Learns from (text, lang): `sample` texts per language are used for the centroids, all for the
     document frequencies. `reject`: share of the least cosine of a language's sample below which a text
     is rejected. None if nothing is labelled."""

@@ -18,7 +18,7 @@ from townbill.llm import common
 SLOTS = 1 << 15
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-THRESHOLD = -0.25
+THRESHOLD = -0.08
 NO_PLACES = "array<int>"
 
 
