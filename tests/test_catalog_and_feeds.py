@@ -39,8 +39,8 @@ def test_search(spark):
     # the adult-programme words count only under an age filter, and only where that source may show
     assert ids(catalog.search_listings(rows, NOW, ages=[(0, 5)])) == ["kid"]
     assert ids(catalog.search_listings(rows, NOW, ["frisco-library", "play-frisco"], ages=[(0, 5)])) == ["kid"]
-    # limits come before the age filter
-    assert ids(catalog.search_listings(rows, NOW, ages=[(0, 5)], upcoming_limit=4)) == []
+    # stated limits come after all filters
+    assert ids(catalog.search_listings(rows, NOW, ages=[(0, 5)], upcoming_limit=4)) == ["kid"]
 
 
 def test_pages(spark):

@@ -150,3 +150,15 @@ def test_likes_against_steps(spark, chunk):
         log.append(dict(event_id=item, ts=dt.datetime.fromtimestamp(1000 + seq // 3, dt.timezone.utc), seq=seq, delta=delta))
     got = {r["event_id"]: r["count"] for r in dicts(like_counts(table(spark, schemas.LIKE_LOG, log), chunk))}
     assert got == want
+
+
+def test_likes_of_one_hour_are_spread(spark):
+    from townbill.operators.likes import like_counts
+
+    log = spark.range(4000).selectExpr("'hot' AS event_id", "timestamp'2026-08-01 10:00:00' + make_dt_interval(0, 0, 0, id / 10) AS ts", "id AS seq", "CASE WHEN id % 3 = 0 THEN -1 ELSE 1 END AS delta")
+    count = 0
+    for i in range(4000):
+        count = 1 if i == 0 else max(0, count + (-1 if i % 3 == 0 else 1))
+    assert [r["count"] for r in like_counts(log).collect()] == [count]
+    ranged = log.repartitionByRange(8, "event_id", "ts", "seq").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(ranged) >= 6 and max(r["count"] for r in ranged) < 1500

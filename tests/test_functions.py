@@ -262,7 +262,7 @@ def test_audience_links(spark):
         link("Kids"): (6, 12, "Kids (6–12)", False), link("Babies", "Teens"): (0, 17, None, False), link("Kids", "Adults"): (6, 12, None, False),
         link("Adults"): (18, 99, "Adults", False), link("Families+%28All+Ages%29"): (0, 17, "All Ages", True), link("Families+(All+Ages)"): (0, 17, "All Ages", True),
         link("Older+Adults", "Adults"): (18, 99, None, False), link("Robots"): (None, None, None, False), link("Kids%E0%A4%A"): (None, None, None, False),
-        "AGE GROUP" + "x" * 700 + link("Kids")[9:]: (None, None, None, False), link("Kids")[9:]: (None, None, None, False),
+        "AGE GROUP" + "x" * 700 + link("Kids")[9:]: (6, 12, "Kids (6–12)", False), "AGE GROUP<h3>Next</h3>" + link("Kids")[9:]: (None, None, None, False), link("Kids")[9:]: (None, None, None, False),
     }
     got = apply(spark, list(cases), ages.audience_link_range)
     assert [(r["age_min"], r["age_max"], r["age_label"], r["is_family"]) for r in got] == list(cases.values())

@@ -151,7 +151,7 @@ def test_park_edges(spark):
         dict(source="kaleidoscope-park", url="bad", page_no=1, fetched_at=utc(NOW), body="<html>blocked</html>"),
     ]
     got = {r["id"].rsplit("-", 1)[1]: r for r in dicts(landings.park_listings(table(spark, schemas.RAW_PAGES, pages)))}
-    assert set(got) == {"1", "4", "5"}
+    assert set(got) == {"1", "4", "5", "6"}
     assert got["1"]["title"] == "Trail – 1" and got["1"]["description"] == "a b" and got["1"]["price_locked"] is False
     assert (got["4"]["price_class"], got["4"]["price_reasoning"], got["4"]["location_name"]) == ("paid", 'Cost field: "$5"', "Lawn & hill")
     assert (got["4"]["location_lat"], got["4"]["location_lng"]) == (33.5, -96.8230)
@@ -171,7 +171,7 @@ def test_feed_edges(spark):
     rows = table(spark, "branch STRING, page_no INT, fetched_at TIMESTAMP, body STRING", feeds)
     details = table(spark, "url STRING, body STRING", [dict(url="https://p/g/77", body='AGE GROUP <a href="/events?a=Teens">')])
     got = {r["id"]: r for r in dicts(landings.branch_listings(rows, details))}
-    assert set(got) == {"plano-library-1x", "plano-library-Tm8gaWQgaGVyZSBhdCBh", "plano-library-77"}
+    assert set(got) == {"plano-library-1x", "plano-library-Tm8gaWQgaGVyZSBhdCBhbGw=", "plano-library-77"}
     assert (got["plano-library-1x"]["title"], got["plano-library-1x"]["location_name"], got["plano-library-1x"]["start_datetime"].hour) == ("A & B", "Davis Library", 14)
     assert (got["plano-library-77"]["age_min"], got["plano-library-77"]["age_label"]) == (13, "Teens")
 
@@ -179,3 +179,118 @@ def test_feed_edges(spark):
 def test_horizon_runs_past_short_months():
     assert landings.horizon_end("2026-08-31T10:00:00Z") == utc("2027-03-03T10:00:00Z")
     assert landings.horizon_end("2026-12-01T00:00:00Z") == utc("2027-06-01T00:00:00Z")
+
+
+# ---- what a run keeps, and what it does when something fails -----------------------------
+
+
+def test_stored_columns_survive_a_republish(spark, paths):
+    born = utc("2026-01-01T00:00:00Z")
+    sinks.write_catalogue(rows(spark, 60, created_at=born), paths[0])
+    batch = rows(spark, 62).drop("created_at")
+    assert ingest.run_source(spark, "frisco-library", batch, *paths, NOW).upserted == 62
+    have = stored(spark, paths)
+    assert len(have) == 62 and sum(r["created_at"] == born.replace(tzinfo=None) or r["created_at"] == born for r in have.values()) == 60
+    assert all(r["created_at"] is not None for r in have.values())
+
+
+def test_partial_batch_over_many_stored_rows(spark, paths):
+    sinks.write_catalogue(rows(spark, 60, "kaleidoscope-park", kid_relevant=True, age_confidence="high"), paths[0])
+    few = rows(spark, 3, "kaleidoscope-park").drop("created_at").withColumn("title", F.lit("Renamed"))
+    whole = ingest.run_source(spark, "kaleidoscope-park", few, *paths, NOW, all_good)
+    assert whole.aborted and "ABORT" in whole.errors[-1]
+    part = ingest.run_source(spark, "kaleidoscope-park", few, *paths, NOW, all_good, partial=True)
+    assert not part.aborted and part.upserted == 3
+    have = stored(spark, paths)
+    assert len(have) == 60 and sum(r["title"] == "Renamed" for r in have.values()) == 3
+
+
+def test_aborted_micro_batch_stops_the_stream(spark, tmp_path, paths):
+    sinks.write_catalogue(rows(spark, 2, "plano-library"), paths[0])
+    landed = str(tmp_path / "landed")
+    bad = [payload(1, [entry(i, start_date="2026-08-14 03:00:00") for i in range(4)])]
+    table(spark, schemas.RAW_PAGES, bad).write.parquet(landed)
+    source = stream.landed_files(spark, landed, schemas.RAW_PAGES)
+    q = stream.publish_stream(source, "kaleidoscope-park", landings.park_listings, *paths, str(tmp_path / "offsets"), NOW, all_good)
+    with pytest.raises(Exception, match="not published"):
+        q.awaitTermination(120)
+
+
+def test_skipped_rows_come_back_as_pending(spark, tmp_path, paths):
+    sinks.write_catalogue(rows(spark, 1, "plano-library"), paths[0])
+    pending = str(tmp_path / "pending")
+    result = ingest.run_source(spark, "play-frisco", rows(spark, 9, "play-frisco"), *paths, NOW, all_good, cap=4, pending_path=pending)
+    assert (result.capped, result.upserted, spark.read.parquet(pending).count()) == (True, 4, 5)
+    uncapped = ingest.run_source(spark, "play-frisco", rows(spark, 9, "play-frisco"), *paths, NOW, all_good)
+    assert (uncapped.capped, uncapped.upserted, uncapped.llm_calls) == (False, 9, 5)
+
+
+def test_all_sources_run_on_when_one_fails(spark, paths):
+    sinks.write_catalogue(rows(spark, 3), paths[0])
+
+    def broken():
+        raise OSError("page not landed")
+
+    resolved = rows(spark, 30).withColumn("age_resolved", F.lit(False))
+    batches = {"frisco-library": resolved, "plano-library": broken, "kaleidoscope-park": lambda: rows(spark, 4, "kaleidoscope-park").withColumn("id", F.expr("raise_error('torn')"))}
+    got = {r.source: r for r in ingest.run_all(spark, {**batches, "play-frisco": rows(spark, 2, "play-frisco")}, *paths, NOW, all_good)}
+    assert [got[s].upserted for s in ("frisco-library", "plano-library", "kaleidoscope-park", "play-frisco")] == [30, 0, 0, 2]
+    assert got["frisco-library"].errors == ["30 of 30 listings fell back to all ages"]
+    assert "page not landed" in got["plano-library"].errors[0] and got["kaleidoscope-park"].aborted
+    log = [r["status"] for r in dicts(sinks.read_runs(spark, paths[1]))]
+    assert sorted(log) == ["err", "err", "ok", "warn"]
+    failed = {r["source"]: r["failed"] for r in dicts(ingest.summarise(list(got.values()), spark))}
+    assert failed == {"frisco-library": False, "plano-library": True, "kaleidoscope-park": True, "play-frisco": False}
+
+
+def test_two_sources_publish_at_the_same_time(spark, paths):
+    from concurrent.futures import ThreadPoolExecutor
+
+    names = ["frisco-library", "plano-library", "play-frisco"]
+    sinks.write_catalogue(rows(spark, 5, names[0]).unionByName(rows(spark, 5, names[1])).unionByName(rows(spark, 5, names[2])), paths[0])
+    with ThreadPoolExecutor(3) as pool:
+        jobs = [pool.submit(sinks.replace_source, rows(spark, n, s), paths[0], s) for s, n in zip(names, (7, 0, 9))]
+        assert [j.result() for j in jobs] == [7, 0, 9]
+    have = [r["source"] for r in stored(spark, paths).values()]
+    assert [have.count(s) for s in names] == [7, 0, 9]
+
+
+def test_staged_tables_go_with_the_run(spark, paths):
+    import os
+
+    from townbill.session import checkpoint_dir
+
+    sinks.write_catalogue(rows(spark, 5), paths[0])
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    ingest.run_source(spark, "frisco-library", rows(spark, 6), *paths, NOW)
+    ingest.run_source(spark, "frisco-library", rows(spark, 6).withColumn("id", F.expr("raise_error('torn')")), *paths, NOW)
+    assert set(os.listdir(folder)) == before
+
+
+def test_details_and_pages_landed_twice(spark):
+    late = lambda r, **kw: {**r, "fetched_at": utc("2026-08-02T12:00:00Z"), **kw}
+    one = payload(1, [entry(1), entry(2)])
+    pages = table(spark, schemas.RAW_PAGES, [one, late(one, body=json.dumps({"events": [entry(1, title="Later"), entry(2)]}))])
+    got = dicts(ingest.prepare(tables.as_batch(landings.park_listings(pages))))
+    assert sorted(r["title"] for r in got) == ["Later", "Trail – 2"]
+    item = "<item><title>A</title><link>https://p/e/1</link><pubDate>Fri, 14 Aug 2026 09:30:00 +0000</pubDate></item>"
+    feed = dict(branch="Davis Library", page_no=1, fetched_at=utc(NOW), body=f"<rss><channel>{item}</channel></rss>")
+    feeds = table(spark, "branch STRING, page_no INT, fetched_at TIMESTAMP, body STRING", [feed, late(feed)])
+    page = lambda who, at: dict(url="https://p/e/1", fetched_at=utc(at), body=f'AGE GROUP <a href="/events?a={who}">')
+    details = table(spark, "url STRING, fetched_at TIMESTAMP, body STRING", [page("Kids", NOW), page("Teens", "2026-08-03T12:00:00Z")])
+    listed = dicts(landings.branch_listings(feeds, details))
+    assert [r["age_label"] for r in listed] == ["Teens"]
+
+
+def test_texts_past_the_old_windows(spark):
+    long = "".join(f"<p>Paragraph number {i} of a long text.</p>" for i in range(300))
+    gap = " " * 1500
+    body = (
+        f'<title>Painting</title><b itemprop="startDate">2026-08-14T18:30:00</b><i class="specificDetailHeader">Time:</i>{gap}<i class="specificDetailItem">6:30 PM - 9:15 PM</div>'
+        f'<i class="specificDetailHeader">Location:</i>{gap}<i class="specificDetailItem">Hall</div><div itemprop="description" class="fr-view">{long}</div><p>Not part of the text</p>'
+    )
+    pages = table(spark, "eid STRING, fetched_at TIMESTAMP, body STRING", [dict(eid="5", fetched_at=utc(NOW), body=body)])
+    (got,) = dicts(landings.calendar_listings(pages, NOW))
+    assert got["description"].count("Paragraph") == 300 and "Not part" not in got["description"]
+    assert got["location_name"] == "Hall" and got["end_datetime"].minute == 15

@@ -115,7 +115,7 @@ def test_adult_override(spark):
 
 
 def test_cap_setting():
-    caps = {None: 300, "": 300, " ": 300, "abc": 300, "-1": 300, "nan": 300, "inf": 300, "0": 0, "12": 12, "12.9": 12}
+    caps = {None: None, "": None, " ": None, "abc": None, "-1": None, "nan": None, "inf": None, "0": 0, "12": 12, "12.9": 12}
     assert {k: classify.call_cap(k) for k in caps} == caps
 
 

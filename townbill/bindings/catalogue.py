@@ -21,12 +21,11 @@ def fields(df):
 
 
 def found(where: str = "true", window: str = "true", after: str = "true") -> str:
-    """The list view: both limited parts, then the later filters."""
+    """The list view: all rows of both parts that pass the filters."""
     return f"""WITH {LISTINGS},
-    later AS (SELECT * FROM order_listings WHERE {SHOWN} AND {where} AND {window} AND start_datetime >= {CUTOFF}
-              ORDER BY start_datetime, id LIMIT 1000),
+    later AS (SELECT * FROM order_listings WHERE {SHOWN} AND {where} AND {window} AND start_datetime >= {CUTOFF}),
     running AS (SELECT * FROM order_listings WHERE {SHOWN} AND {where} AND start_datetime < {CUTOFF}
-                AND end_datetime >= {CUTOFF} ORDER BY start_datetime, id LIMIT 100),
+                AND end_datetime >= {CUTOFF}),
     both_parts AS (SELECT * FROM later UNION ALL SELECT * FROM running)
     SELECT {FIELDS} FROM both_parts WHERE {after}"""
 
@@ -115,7 +114,7 @@ def indexable(spark, sf):
 
 @query(
     f"""WITH {LISTINGS}, firsts AS (SELECT * FROM order_listings WHERE start_datetime >= {CUTOFF}
-      AND source IN ('frisco-library', 'play-frisco') ORDER BY start_datetime, id LIMIT 2000)
+      AND source IN ('frisco-library', 'play-frisco'))
     SELECT {FIELDS} FROM firsts WHERE {INDEXABLE}"""
 )
 def indexable_city(spark, sf):

@@ -123,19 +123,33 @@ def parsed_answers(spark, sf):
 
 
 @query(
-    f"""WITH {CAPPED}, due AS (
-      SELECT *, NOT carried AND NOT budget_skipped AS asked, NOT carried AND NOT budget_skipped AND {USABLE} AS ok,
+    f"""WITH {PRIOR}, due AS (
+      SELECT *, NOT carried AS asked, NOT carried AND {USABLE} AS ok,
              regexp_matches(lower(title || ' ' || description), '\\b(camp|class|clinic|workshop|lessons|league|academy|tournament|per child|per person|materials fee|deposit)\\b')
-               OR registration_required AS doubtful FROM capped)
-    SELECT id, CASE WHEN ok THEN doc_id % 2 = 0 WHEN asked THEN false ELSE kid_relevant END AS kid_relevant,
+               OR registration_required AS doubtful FROM carried),
+    answered AS (
+      SELECT id, CASE WHEN ok THEN doc_id % 2 = 0 WHEN asked THEN false ELSE kid_relevant END AS kid_relevant,
+           CASE WHEN ok THEN CASE WHEN doc_id % 2 = 0 THEN ['kids', 'teen'] ELSE CAST([] AS VARCHAR[]) END
+                WHEN NOT asked THEN ['kids'] END AS age_buckets,
+           CASE WHEN ok THEN CASE WHEN doc_id % 7 = 1 THEN 'low' ELSE 'high' END WHEN NOT asked THEN age_confidence END AS age_confidence,
+           CASE WHEN ok THEN 'because' WHEN asked THEN 'classification unavailable (hidden)' ELSE 'stored' END AS age_reasoning,
+           ok AND doc_id % 10 <> 0 AS priced, is_free AS was_free,
            CASE WHEN ok AND doc_id % 10 <> 0 THEN
              CASE doc_id % 3 WHEN 0 THEN CASE WHEN doubtful THEN 'unknown' ELSE 'free' END WHEN 1 THEN 'paid' ELSE 'unknown' END
              ELSE price_class END AS price_class
-    FROM due"""
+      FROM due)
+    SELECT id, kid_relevant, age_buckets, age_confidence, age_reasoning, price_class,
+           CASE WHEN priced THEN CASE price_class WHEN 'free' THEN true WHEN 'paid' THEN false END ELSE was_free END AS is_free
+    FROM answered"""
 )
 def apply_answers(spark, sf):
-    capped = classify.with_spend_cap(classify.carry_forward(batch(spark, sf), prior(spark, sf)), CAP)
-    return classify.apply_answers(capped, answers(spark, sf)).select("id", "kid_relevant", "price_class")
+    uncapped = classify.with_spend_cap(classify.carry_forward(batch(spark, sf), prior(spark, sf)))
+    # every answer came twice, the earlier one unusable
+    twice = answers(spark, sf).withColumn("answered_at", F.lit(2))
+    twice = twice.unionByName(twice.select("id", F.lit("?").alias("answer"), F.lit(1).alias("answered_at")))
+    return classify.apply_answers(uncapped, twice).select(
+        "id", "kid_relevant", "age_buckets", "age_confidence", "age_reasoning", "price_class", "is_free"
+    )
 
 
 # an English word list that occurs in the texts stands in for the adult phrases

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from townbill.bindings.enriching import AUDIENCES, audience_taxonomy
-from townbill.bindings.registry import query, spread, table
+from townbill.bindings.registry import query, table
 from townbill.bindings.views import pick, sql_stamp, stamp
 from townbill.operators import guard, publish
 from townbill.plans.ingest import prepare
-from townbill.session import materialise
 from townbill.sources import landings
 from townbill.sources.tables import as_batch, as_listings
 
@@ -89,7 +88,9 @@ def card_details(spark, sf):
         ',"featured_image_id":"i', text_of(k), '"}}}',
     )
     prefix = F.when((k % 2 == 0) & (k % 3 != 1), "e").otherwise("x")
-    return table(spark, sf, "orders").select(cat(prefix, text_of(k)).alias("event_id"), body.alias("body"))
+    rows = table(spark, sf, "orders").select(cat(prefix, text_of(k)).alias("event_id"), body.alias("body"), F.lit(2).alias("fetched_at"))
+    # an earlier landing with nothing in it
+    return rows.unionByName(rows.select("event_id", F.lit('{"event":{}}').alias("body"), F.lit(1).alias("fetched_at")))
 
 
 def library(spark, sf):
@@ -172,8 +173,9 @@ def feed_details(spark, sf):
     k = F.col("o_orderkey")
     path = F.when(k % 5 == 0, "other").otherwise("event")
     return table(spark, sf, "orders").select(
-        cat("https://plano.example.org/", path, "/", text_of(k)).alias("url"), pick(k % 3, AGE_BLOCKS).alias("body")
-    )
+        cat("https://plano.example.org/", path, "/", text_of(k)).alias("url"), pick(k % 3, AGE_BLOCKS).alias("body"),
+        F.explode(F.array(F.lit(2), F.lit(1))).alias("fetched_at"),
+    ).withColumn("body", F.when(F.col("fetched_at") == 2, F.col("body")).otherwise("AGE GROUP"))
 
 
 FEED_ROWS = f"""
@@ -226,7 +228,7 @@ def calendar_pages(spark, sf):
         ),
         "</html>",
     )
-    return spread(table(spark, sf, "orders")).select(text_of(k).alias("eid"), day.alias("fetched_at"), body.alias("body"))
+    return table(spark, sf, "orders").select(text_of(k).alias("eid"), day.alias("fetched_at"), body.alias("body"))
 
 
 @query(
@@ -276,8 +278,9 @@ def payload_pages(spark, sf):
         '"url":', F.when(k % 6 == 0, '""').otherwise(cat('"https://park.example.org/', text_of(k), '"')), "}",
     )
     rows = table(spark, sf, "orders").select(k.alias("k"), day.alias("fetched_at"), entry.alias("part"))
-    total = F.lit(1000000)
-    return pages_of(rows, 50, ",").withColumn("body", cat('{"total_pages":', text_of(total), ',"events":[', F.col("body"), "]}"))
+    # pages that do not say how many there are count as well
+    head = F.when(F.col("page_no") % 2 == 0, '{"total_pages":3,"events":[').otherwise('{"events":[')
+    return pages_of(rows, 50, ",").withColumn("body", cat(head, F.col("body"), "]}"))
 
 
 @query(
@@ -309,12 +312,9 @@ def park_listings(spark, sf):
       CASE k % 5 WHEN 1 THEN 'paid' ELSE 'free' END AS price_class FROM s"""
 )
 def nightly_snapshot(spark, sf):
-    """Payload pages to listings, merged, screened against the stored rows, upserted and purged.
-
-    As in a real run, the parsed rows and the merged batch are written once and read from there.
-    """
-    scraped = materialise(as_batch(landings.park_listings(payload_pages(spark, sf))))
-    batch = materialise(prepare(scraped))
+    """Payload pages to listings, merged, screened against the stored rows, upserted and purged."""
+    scraped = as_batch(landings.park_listings(payload_pages(spark, sf)))
+    batch = prepare(scraped)
     k = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
     # of the stored rows a third is under ids that are no longer published
     stored_id = F.when(k % 3 < 2, F.col("id")).otherwise(F.concat("id", F.lit("-gone")))

@@ -147,11 +147,11 @@ def implausible_share(spark, sf):
 
 def snapshot_rows(spark, sf):
     o = table(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("price"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("created_at"))
 
 
 def batch_rows(spark, sf):
-    """A later batch: even orders again at a new price, plus as many new ids."""
+    """A later batch: even orders again at a new price, plus as many new ids; it lacks a stored column."""
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
     return o.select(
@@ -161,16 +161,18 @@ def batch_rows(spark, sf):
 
 
 PUBLISH = """
-stored AS (SELECT o_orderkey AS id, o_orderpriority AS title, o_totalprice AS price FROM orders),
+stored AS (SELECT o_orderkey AS id, o_orderpriority AS title, o_totalprice AS price, o_orderdate AS created_at FROM orders),
 batch AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END AS id, o_orderstatus AS title,
                  o_totalprice + 1 AS price FROM orders),
-merged AS (SELECT * FROM stored WHERE id NOT IN (SELECT id FROM batch) UNION ALL SELECT * FROM batch)
+merged AS (SELECT * FROM stored WHERE id NOT IN (SELECT id FROM batch) UNION ALL
+           SELECT b.*, CASE WHEN s.id IS NULL THEN DATE '1999-01-01' ELSE s.created_at END FROM batch b LEFT JOIN stored s ON s.id = b.id)
 """
+FIRST_SEEN_DAY = "1999-01-01"
 
 
 @query(f"WITH {PUBLISH} SELECT * FROM merged")
 def upsert_snapshot(spark, sf):
-    return publish.upsert(snapshot_rows(spark, sf), batch_rows(spark, sf))
+    return publish.upsert(snapshot_rows(spark, sf), batch_rows(spark, sf), new={"created_at": F.lit(FIRST_SEEN_DAY).cast("date")})
 
 
 @query(f"WITH {PUBLISH} SELECT * FROM stored WHERE id IN (SELECT id FROM batch)")
@@ -197,7 +199,7 @@ def next_snapshot(spark, sf):
     # of the stored rows not written, a third was scraped
     seen = F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(10**15) + F.col("id")).alias("id")
     scraped = batch.select("id").unionByName(snapshot_rows(spark, sf).select(seen))
-    return publish.next_snapshot(snapshot_rows(spark, sf), batch, scraped, ["urgent", "medium"], purge=True)
+    return publish.next_snapshot(snapshot_rows(spark, sf), batch, scraped, ["urgent", "medium"], purge=True, new={"created_at": F.lit(FIRST_SEEN_DAY).cast("date")})
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS title, 'orders' AS source FROM orders "

@@ -25,11 +25,3 @@ def query(sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Split an input that comes in fewer pieces than there are cores, for work that is heavy per row.
-
-    A small table in one file would keep one core busy; a large one has pieces enough and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

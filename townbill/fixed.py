@@ -170,13 +170,9 @@ TODDLER_RANGE = (0, 5)
 FRESHNESS_HOURS = 48
 FALLBACK_MIN_TOTAL = 20
 FALLBACK_MAX_SHARE = 0.5
-UPCOMING_LIMIT = 1000
-ONGOING_LIMIT = 100
-INDEXABLE_LIMIT = 2000
 PAGE_SIZE = 20
 HORIZON_MONTHS = 6
 COST_PER_CALL = "0.006"
-DEFAULT_CALL_CAP = 300
 STATUS_RANK = {"none": 0, "ok": 1, "warn": 2, "err": 3}
 ANALYTICS_DAYS = 90
 

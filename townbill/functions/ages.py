@@ -11,6 +11,9 @@ from townbill import fixed
 from townbill.functions.text import SPACE, blank_to_null, holds_any, let
 
 
+SECTION_END = r"(?i)<h[1-6][\s>]|</(?:section|article|main|body)>"
+
+
 def _range(lo: Column | int | None, hi: Column | int | None, label: Column | str | None) -> Column:
     as_col = lambda v, t: v.cast(t) if isinstance(v, Column) else F.lit(v).cast(t)
     return F.struct(
@@ -76,7 +79,14 @@ def audience_flags(name: Column) -> dict[str, Column]:
     }
 
 
-def suitable_for_range(html: Column, window: int = 600) -> Column:
+def _block(html: Column, mark: str, window: int | None) -> Column:
+    """The page from the mark to its next heading or section end, or no more than a stated width."""
+    at = F.instr(html, mark)
+    rest = F.substring(html, at, F.lit(window if window is not None else 2**31 - 1))
+    return F.split(rest, SECTION_END, 2)[0]
+
+
+def suitable_for_range(html: Column, window: int | None = None) -> Column:
     """Range from the 'Suitable for' block of an older detail page."""
     groups = ("young", "middle", "tween", "teen")
 
@@ -89,20 +99,20 @@ def suitable_for_range(html: Column, window: int = 600) -> Column:
         return range_from_flags(flags, F.when(count == 1, only))
 
     at = F.instr(html, "Suitable for")
-    block = F.lower(F.substring(html, at, F.lit(window)))
+    block = F.lower(_block(html, "Suitable for", window))
     return F.when(at > 0, let(block, read)).otherwise(_range(None, None, None))
 
 
-def audience_links(html: Column, window: int = 600) -> Column:
+def audience_links(html: Column, window: int | None = None) -> Column:
     """Decoded audience values linked from the AGE GROUP block; null when there is no block."""
     at = F.instr(html, "AGE GROUP")
-    raw = F.regexp_extract_all(F.substring(html, at, F.lit(window)), F.lit('href="/events\\?a=([^"]+)"'), F.lit(1))
+    raw = F.regexp_extract_all(_block(html, "AGE GROUP", window), F.lit('href="/events\\?a=([^"]+)"'), F.lit(1))
     # '+' stays itself: it is escaped before the form decoder could read it as a space
     decoded = F.transform(raw, lambda v: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v))
     return F.when(at > 0, decoded)
 
 
-def audience_link_range(html: Column, table: dict = fixed.AUDIENCE_LINKS, window: int = 600) -> Column:
+def audience_link_range(html: Column, table: dict = fixed.AUDIENCE_LINKS, window: int | None = None) -> Column:
     """Range, label and family flag from the audience links; child audiences decide if any."""
     lookup = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), _range(*v))])
 

@@ -80,28 +80,25 @@ def search_listings(
     ages=None,
     date_from=None,
     date_to=None,
-    upcoming_limit: int | None = fixed.UPCOMING_LIMIT,
-    ongoing_limit: int | None = fixed.ONGOING_LIMIT,
+    upcoming_limit: int | None = None,
+    ongoing_limit: int | None = None,
 ) -> DataFrame:
     """The list view: ongoing and upcoming rows, soonest first.
 
-    The result limits apply before the age and keyword filters, as in the list view; ongoing
-    rows ignore the date window. Both parts are top-k reads, so only their limits travel, and
-    being disjoint by start they need no de-duplication. A limit of None lifts it.
+    All matching rows are returned unless a limit is stated; limits apply after all filters.
+    Ongoing rows ignore the date window. Without limits one scan reads both parts.
     """
     shown = listings.filter(selected(sources, branches, is_free) & kid_gate() & adult_gate())
-    later = by_start(shown.filter(date_window(date_from, date_to) & upcoming(now)))
-    running = by_start(shown.filter(ongoing(now)))
-    if upcoming_limit is not None:
-        later = later.limit(upcoming_limit)
-    if ongoing_limit is not None:
-        running = running.limit(ongoing_limit)
-    rows = running.unionByName(later)
     if ages:
-        rows = age_filter(rows, ages)
+        shown = age_filter(shown, ages)
         if not sources or "frisco-library" in sources:
-            rows = rows.filter(~F.coalesce(adult_programme(), F.lit(False)))
-    return by_start(rows)
+            shown = shown.filter(~F.coalesce(adult_programme(), F.lit(False)))
+    later, running = date_window(date_from, date_to) & upcoming(now), ongoing(now)
+    if upcoming_limit is None and ongoing_limit is None:
+        return by_start(shown.filter(later | running))
+    parts = [(running, ongoing_limit), (later, upcoming_limit)]
+    rows = [shown.filter(p) if n is None else by_start(shown.filter(p)).limit(n) for p, n in parts]
+    return by_start(rows[0].unionByName(rows[1]))
 
 
 def page(rows: DataFrame, number: int, size: int = fixed.PAGE_SIZE, cumulative: bool = False) -> DataFrame:
@@ -125,24 +122,24 @@ def indexable_listings(
     now,
     city: str | None = None,
     city_sources: dict = fixed.CITY_SOURCES,
-    limit: int | None = fixed.INDEXABLE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Upcoming indexable rows, soonest first, optionally of one city; the limit comes first."""
-    rows = listings.filter(upcoming(now))
+    """Upcoming indexable rows, soonest first, optionally of one city or no more than a stated limit."""
+    rows = listings.filter(upcoming(now) & indexable(now))
     if city:
         rows = rows.filter(F.col("source").isin(*city_sources[city]))
     rows = by_start(rows)
-    if limit is not None:
-        rows = rows.limit(limit)
-    return by_start(rows.filter(indexable(now)))
+    return rows if limit is None else rows.limit(limit)
 
 
 def for_city(listings: DataFrame, city: str, city_sources: dict = fixed.CITY_SOURCES) -> DataFrame:
     return listings.filter(F.col("source").isin(*city_sources[city]))
 
 
-def by_id(listings: DataFrame, item_id: str) -> DataFrame:
-    return listings.filter(F.col("id") == item_id)
+def by_id(listings: DataFrame, item_id: str, source: str | None = None) -> DataFrame:
+    """The row of an id; a known source prunes the other partitions."""
+    rows = listings.filter(F.col("source") == source) if source else listings
+    return rows.filter(F.col("id") == item_id)
 
 
 def with_source_dim(listings: DataFrame, dim: dict = fixed.SOURCE_DIM) -> DataFrame:

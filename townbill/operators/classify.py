@@ -10,6 +10,7 @@ from townbill import fixed
 from townbill.functions import prices
 from townbill.functions.model_output import parse_answer
 from townbill.functions.text import joined, let, matches_any
+from townbill.operators.series import newest
 
 CARRIED = (
     "kid_relevant", "age_buckets", "age_confidence", "age_reasoning", "is_free", "price_text",
@@ -18,8 +19,8 @@ CARRIED = (
 UNAVAILABLE = "classification unavailable (hidden)"
 
 
-def call_cap(raw: str | None, default: int = fixed.DEFAULT_CALL_CAP) -> int:
-    """A configured cap; a missing, malformed or negative one means the default, 0 is allowed."""
+def call_cap(raw: str | None, default: int | None = None) -> int | None:
+    """A configured cap; a missing, malformed or negative one means the default, none; 0 is allowed."""
     try:
         number = float(raw) if raw is not None and raw.strip() else math.nan
     except ValueError:
@@ -45,11 +46,14 @@ def carry_forward(batch: DataFrame, prior: DataFrame, retry_failed: bool = False
     return merged.withColumns(values).withColumn("carried", hit).drop("prior")
 
 
-def with_spend_cap(carried: DataFrame, cap: int = fixed.DEFAULT_CALL_CAP, seq: str = "seq") -> DataFrame:
-    """Mark pending rows past the first `cap` in batch order as `budget_skipped`.
+def with_spend_cap(carried: DataFrame, cap: int | None = None, seq: str = "seq") -> DataFrame:
+    """Mark pending rows past the first `cap` in batch order as `budget_skipped`; without a cap none is.
 
-    The cap is a top-k over the pending rows; its last position is the cut-off for the rest.
+    The cap is a top-k over the pending rows; its last position is the cut-off for the rest. The rows
+    are read twice, so a run writes them before it caps them.
     """
+    if cap is None:
+        return carried.withColumn("budget_skipped", F.lit(False))
     pending = carried.filter(~F.col("carried")).select(seq)
     last = pending.orderBy(seq).limit(cap).agg(F.max(seq).alias("last")).scalar()
     beyond = F.coalesce(F.col(seq) > last, F.lit(True))
@@ -61,12 +65,19 @@ def to_classify(capped: DataFrame) -> DataFrame:
     return capped.filter(~F.col("carried") & ~F.col("budget_skipped")).select("id", "title", "description")
 
 
+def skipped(capped: DataFrame) -> DataFrame:
+    """The rows that a cap left unclassified, for a later run."""
+    return capped.filter("budget_skipped").drop("budget_skipped", "carried")
+
+
 def apply_answers(capped: DataFrame, answers: DataFrame) -> DataFrame:
-    """Join classifier answers (id, answer) onto the rows that were up for classification.
+    """Join classifier answers (id, answer[, answered_at]) onto the rows that were up for classification.
 
-    An unusable or missing answer hides the row. A locked price stays as the source stated it.
+    An unusable or missing answer hides the row. A locked price stays as the source stated it. Of
+    several answers for an id the latest counts, and without times the greatest text.
     """
     found = F.col("found")
+    answers = newest(answers, "id", "answered_at", "answer")
     rows = capped.join(answers.select("id", parse_answer(F.col("answer")).alias("found")), "id", "left")
     due = ~F.col("carried") & ~F.col("budget_skipped")
     answered = due & found.isNotNull()

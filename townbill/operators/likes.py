@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def like_counts(log: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def like_counts(log: DataFrame, pieces: int | None = None) -> DataFrame:
     """Final count per item of a log (event_id, ts, seq, delta), floored at 0 after every step.
 
     The first write of an item always sets 1. With S the running sum (its first step taken as
     +1), flooring at each step ends at S_end − min(0, lowest S). Sum and lowest prefix compose
-    over consecutive pieces of a log, so each item's log is cut into time chunks: the ordered
-    window runs inside a chunk, a second one over the far fewer chunk rows, and an item that
-    owns much of the log is spread over its chunks.
+    over consecutive pieces of a log. The log is cut into `pieces` ranges of (item, time) that hold
+    about as many rows each, so that an item with much of the log, even within an hour, is spread
+    over several; the ordered window runs inside an item's share of a piece, a second one over the
+    shares, at most one per piece.
     """
-    chunk = F.floor(F.unix_seconds("ts") / chunk_seconds)
+    pieces = pieces or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.struct("ts", "seq")
+    log = log.select("event_id", "ts", "seq", "delta").repartitionByRange(pieces, "event_id", "ts", "seq")
+    log = log.withColumn("chunk", F.spark_partition_id())
     inside = Window.partitionBy("event_id", "chunk").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     chunks = (
-        log.select("event_id", "ts", "seq", "delta", chunk.alias("chunk"))
-        .withColumn("running", F.sum("delta").over(inside))
+        log.withColumn("running", F.sum("delta").over(inside))
         .groupBy("event_id", "chunk")
         .agg(
             F.sum("delta").alias("total"),

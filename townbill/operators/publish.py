@@ -11,9 +11,28 @@ from townbill.functions.maths import call_cost
 from townbill.functions.text import contains_any
 
 
-def upsert(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """Batch rows replace stored rows of the same id; all others survive."""
-    return stored.join(batch.select(key), key, "left_anti").unionByName(batch)
+def upsert(stored: DataFrame, batch: DataFrame, key: str = "id", new: dict[str, Column] | None = None) -> DataFrame:
+    """Batch rows replace stored rows of the same id; all others survive.
+
+    Columns that the batch lacks keep their stored values; for new ids they are null, or as `new` says.
+    """
+    return _merged(stored, batch.select(key, F.struct(*batch.columns).alias("written")), batch.columns, key, new)
+
+
+def _merged(stored: DataFrame, marks: DataFrame, own: list[str], key: str, new: dict[str, Column] | None) -> DataFrame:
+    """One join of the stored rows with `marks` (key, written): what was written wins column by column."""
+    s, m = stored.alias("s"), marks.alias("m")
+    hit, known = F.col("m.written").isNotNull(), F.col(f"s.{key}").isNotNull()
+
+    def value(c: str) -> Column:
+        if c in own:
+            return F.when(hit, F.col(f"m.written.{c}")).otherwise(F.col(f"s.{c}") if c in stored.columns else F.lit(None))
+        at_first = (new or {}).get(c, F.lit(None))
+        return F.when(hit & ~known, at_first).otherwise(F.col(f"s.{c}"))
+
+    columns = stored.columns + [c for c in own if c not in stored.columns]
+    rows = s.join(m, F.col(f"s.{key}") == F.col(f"m.{key}"), "full_outer").filter(hit | known)
+    return rows.select(*[value(c).alias(c) for c in columns])
 
 
 def purge_stale(stored: DataFrame, scraped: DataFrame, key: str = "id") -> DataFrame:
@@ -32,21 +51,25 @@ def keyword_cleanup(stored: DataFrame, words, title: str = "title") -> DataFrame
 
 
 def next_snapshot(
-    stored: DataFrame, write: DataFrame, scraped: DataFrame | None = None, cleanup_words=(), purge: bool = False
+    stored: DataFrame,
+    write: DataFrame,
+    scraped: DataFrame | None = None,
+    cleanup_words=(),
+    purge: bool = False,
+    new: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Upsert, keyword clean-up and purge of one source, for a batch that was not aborted.
 
-    The written rows are among the scraped ones. Ids of both are marked in one narrow table, so
-    the stored rows, the large side, take part in a single join.
+    The written rows are among the scraped ones; with a purge, stored rows whose id was not scraped go.
+    The stored rows, the large side, are shuffled once, by id. Columns that the written rows lack keep
+    their stored values; for new ids they are null, or as `new` says.
     """
-    marks = write.select("id", F.lit(True).alias("written"))
+    marks = write.select("id", F.struct(*write.columns).alias("written"))
     if purge and scraped is not None:
-        marks = marks.unionByName(scraped.select("id", F.lit(False).alias("written")))
-        kept = F.col("written") == F.lit(False)
+        seen = purge_stale(stored, scraped)
+        rows = _merged(seen, marks, write.columns, "id", new)
     else:
-        kept = F.col("written").isNull()
-    marks = marks.groupBy("id").agg(F.bool_or("written").alias("written"))
-    rows = stored.join(marks, "id", "left").filter(kept).drop("written").unionByName(write)
+        rows = _merged(stored, marks, write.columns, "id", new)
     return keyword_cleanup(rows, cleanup_words) if cleanup_words else rows
 
 

@@ -20,6 +20,12 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(first).select(*keys, "first.*").select(*df.columns)
 
 
+def newest(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """One row (key, value) per key: the value of the latest `at`, which may be missing; the greatest on a tie."""
+    order = F.struct(at, value) if at in df.columns else F.col(value)
+    return df.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
 def merge_by_id(batch: DataFrame, seq: str = "seq", spread: int = 16) -> DataFrame:
     """One row per id: the first row wins and its age range widens over the later ones.
 

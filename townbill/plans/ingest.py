@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from townbill import fixed
 from townbill.functions.wallclock import instant
 from townbill.operators import classify, guard, publish, series
-from townbill.session import materialise
-from townbill.sources import sinks, tables
+from townbill.session import materialise, staging
+from townbill.sources import landings, sinks, tables
 
 
 @dataclasses.dataclass(frozen=True)
@@ -47,16 +47,19 @@ class RunResult:
 
 
 CAP_ERROR = "spend cap reached; the remaining rows were left out rather than classified"
+FALLBACK_ERROR = "{fallback} of {total} listings fell back to all ages"
+MERGED = ("is_recurring", "recurrence_label")
 
 
 def classify_batch(
-    batch: DataFrame, prior: DataFrame, answers_for, cap: int = fixed.DEFAULT_CALL_CAP, retry_failed: bool = False
+    batch: DataFrame, prior: DataFrame, answers_for, cap: int | None = None, retry_failed: bool = False
 ) -> DataFrame:
     """Carry forward, cap, ask and apply; `answers_for` maps the due rows to (id, answer).
 
-    The capped batch is materialised: the classifier is costly and must see each row once.
+    The carried and the capped batch are materialised: the join with the stored rows runs once, and
+    the classifier is costly and must see each row once.
     """
-    capped = materialise(classify.with_spend_cap(classify.carry_forward(batch, prior, retry_failed), cap))
+    capped = materialise(classify.with_spend_cap(materialise(classify.carry_forward(batch, prior, retry_failed)), cap))
     answers = materialise(answers_for(classify.to_classify(capped)))
     return classify.hide_adult(classify.apply_answers(capped, answers))
 
@@ -74,53 +77,109 @@ def run_source(
     runs_path: str,
     now,
     answers_for=None,
-    cap: int = fixed.DEFAULT_CALL_CAP,
+    cap: int | None = None,
     allow_time_shift: bool = False,
     errors: tuple = (),
     rules: dict = RULES,
+    partial: bool = False,
+    pending_path: str | None = None,
 ) -> RunResult:
     """Run one source on its landed batch and append the run log.
 
     An empty batch writes nothing and is not an abort, so its clean-up still runs. An aborted
-    batch leaves the stored rows exactly as they are.
+    batch leaves the stored rows exactly as they are, as does one that fails: the failure becomes
+    an error of the logged run. A `partial` batch holds only some of the source's rows, so neither
+    its missing ids nor its size say anything. Rows that a cap skipped are appended to
+    `pending_path`, if there is one.
     """
-    rule, errors, began = rules[source], list(errors), time.monotonic()
+    rule, began = rules[source], time.monotonic()
+    if rule.classified and answers_for is None:
+        raise ValueError(f"source {source} needs a classifier")
+    try:
+        with staging(spark):
+            result = _publish(
+                spark, source, rule, batch, catalogue_path, now, answers_for, cap, allow_time_shift, list(errors), partial, pending_path
+            )
+    except Exception as error:
+        told = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:500]
+        result = RunResult(source, 0, 0, 0, [*errors, f"{source}: {told}"], aborted=True)
+    took = int((time.monotonic() - began) * 1000)
+    sinks.append_run(run_log(spark, result, now, rule, took), runs_path)
+    return result
+
+
+def _publish(
+    spark, source, rule, batch, catalogue_path, now, answers_for, cap, allow_time_shift, errors, partial, pending_path
+) -> RunResult:
     stored = tables.scan_catalogue(spark, catalogue_path, sources=[source])
+    given = {*batch.columns, *MERGED, *(classify.CARRIED if rule.classified else ())}
     rows = materialise(tables.as_batch(batch))
     calls, capped, scraped = 0, False, rows
+    if "age_resolved" in rows.columns:
+        verdict = landings.audience_fallback(rows).first()
+        if verdict["warn"]:
+            errors.append(FALLBACK_ERROR.format(**verdict.asDict()))
+        rows = rows.drop("age_resolved")
     if rule.classified:
-        if answers_for is None:
-            raise ValueError(f"source {source} needs a classifier")
         rows = materialise(classify_batch(rows, stored, answers_for, cap))
         tally = rows.agg(
             F.count_if(~F.col("carried") & ~F.col("budget_skipped")).alias("calls"),
             F.coalesce(F.bool_or("budget_skipped"), F.lit(False)).alias("capped"),
         ).first()
         calls, capped = tally["calls"], tally["capped"]
-        rows = rows.filter(~F.col("budget_skipped"))
         if capped:
             errors.append(CAP_ERROR)
+            if pending_path:
+                classify.skipped(rows).write.mode("append").parquet(pending_path)
+        rows = rows.filter(~F.col("budget_skipped"))
     fetched = scraped.count()
     ready = materialise(prepare(rows))
     upserted, aborted = 0, False
     if ready.isEmpty():
         write = ready
     else:
-        verdict = materialise(guard.guard_verdict(ready, stored, allow_time_shift))
+        limits = guard.Thresholds(max_shrink_share=1.0) if partial else guard.Thresholds()
+        verdict = materialise(guard.guard_verdict(ready, stored, allow_time_shift, limits))
         decision = verdict.first()
         errors += [f"guard ({source}): {r}" for r in decision["reasons"]]
         aborted = decision["abort"]
         upserted = 0 if aborted else decision["kept"]
         write = guard.write_set(ready, verdict)
     if not aborted:
-        snapshot = publish.next_snapshot(
-            stored, tables.as_listings(write), scraped, rule.cleanup_words, rule.purge and fetched > 0
-        )
+        listed = tables.as_listings(write)
+        written = listed.select(*[c for c in listed.columns if c in given])
+        purge = rule.purge and fetched > 0 and not partial
+        snapshot = publish.next_snapshot(stored, written, scraped, rule.cleanup_words, purge, {"created_at": instant(now)})
         sinks.replace_source(snapshot, catalogue_path, source)
-    result = RunResult(source, fetched, upserted, calls, errors, aborted, capped)
-    took = int((time.monotonic() - began) * 1000)
-    sinks.append_run(run_log(spark, result, now, rule, took), runs_path)
-    return result
+    return RunResult(source, fetched, upserted, calls, errors, aborted, capped)
+
+
+def run_all(
+    spark: SparkSession,
+    batches: dict,
+    catalogue_path: str,
+    runs_path: str,
+    now,
+    answers_for=None,
+    rules: dict = RULES,
+    **options,
+) -> list[RunResult]:
+    """Run every source; `batches` maps it to its landed batch, or to a function that reads it.
+
+    A source that fails, in reading its pages or later, is a logged error; the others go on.
+    """
+    results = []
+    for source, batch in batches.items():
+        began = time.monotonic()
+        try:
+            rows = batch() if callable(batch) else batch
+            result = run_source(spark, source, rows, catalogue_path, runs_path, now, answers_for, rules=rules, **options)
+        except Exception as error:
+            result = RunResult(source, 0, 0, 0, [f"{source}: {type(error).__name__}: {error}"[:500]], aborted=True)
+            took = int((time.monotonic() - began) * 1000)
+            sinks.append_run(run_log(spark, result, now, rules[source], took), runs_path)
+        results.append(result)
+    return results
 
 
 def run_log(spark: SparkSession, result: RunResult, now, rule: SourceRule, duration_ms: int = 0) -> DataFrame:

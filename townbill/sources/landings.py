@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from townbill import fixed
 from townbill.functions import ages, labels, prices, text, wallclock
 from townbill.functions.maths import safe_ratio
-from townbill.operators.series import first_by
+from townbill.operators.series import first_by, newest
 from townbill.sources.tables import as_listings
 
 # ---- fixed values: listing cards ----
@@ -35,12 +35,13 @@ PAGE_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 TITLE_PREFIX = r"(?i)^Calendar\s*[•·]\s*"
 START_ITEM = r'(?i)itemprop="startDate"[^>]*>([^<]+)</'
 END_ITEM = r'(?i)itemprop="endDate"[^>]*>([^<]+)</'
-TIME_BLOCK = r"(?is)specificDetailHeader[^>]*>\s*Time:.{0,100}?specificDetailItem[^>]*>(.*?)</div>"
+DETAIL_HEADER = r"(?i)specificDetailHeader"
+TIME_HEADER = r"(?is)specificDetailHeader[^>]*>\s*Time:(.*)"
+DETAIL_ITEM = r"(?is)specificDetailItem[^>]*>(.*?)</div>"
 END_CLOCK = r"(?i)[-–]\s*(\d{1,2}):(\d{2})\s*([AP]M)"
-LOCATION_BLOCK = r"(?is)specificDetailHeader[^>]*>\s*Location:.{0,50}?specificDetailItem[^>]*>(.*?)</div>"
-LOCATION_ITEM = r'(?is)itemprop="location".{0,1000}?itemprop="name"[^>]*>(.*?)</'
+LOCATION_HEADER = r"(?is)specificDetailHeader[^>]*>\s*Location:(.*)"
+LOCATION_ITEM = r'(?is)itemprop="location".*?itemprop="name"[^>]*>(.*?)</'
 DESCRIPTION_MARK = 'itemprop="description" class="fr-view"'
-DESCRIPTION_WINDOW = 5000
 PARAGRAPH = r"(?s)<p[^>]*>(.*?)</p>"
 PRICE_ITEM = r'(?is)itemprop="price"[^>]*>(.*?)</div>'
 IMAGE_META = r'(?i)<meta[^>]+property="og:image"[^>]+content="([^"]+)"'
@@ -58,11 +59,25 @@ def _found(c: Column, pattern: str, group: int = 1) -> Column:
     return text.blank_to_null(F.regexp_extract(c, pattern, group))
 
 
+def _detail(body: Column, header: str) -> Column:
+    """The item under a header, looked for no further than the next header."""
+    own = F.split(F.regexp_extract(body, header, 1), DETAIL_HEADER, 2)[0]
+    return F.regexp_extract(own, DETAIL_ITEM, 1)
+
+
+def _landed(at: str = "fetched_at") -> Column:
+    """Sorts the latest landing of a page first, so that it wins over earlier ones."""
+    return -F.unix_micros(at)
+
+
 # ---- listing cards ----------------------------------------------------------------------
 
 
 def extract_cards(pages: DataFrame) -> DataFrame:
-    """Listing pages (page_no, fetched_at, body) to one row per card, first occurrence per id."""
+    """Listing pages (page_no, fetched_at, body) to one row per card, first occurrence per id.
+
+    Of several landings of a page the latest comes first.
+    """
     chunks = F.split("body", r"\Q" + CARD_DELIMITER + r"\E")
     card = F.col("card")
     cards = pages.select(
@@ -89,7 +104,8 @@ def extract_cards(pages: DataFrame) -> DataFrame:
     clock = F.regexp_replace(F.col("clock"), r"(?i)(\d+:\d+)am", "$1 AM")
     clock = F.regexp_replace(clock, r"(?i)(\d+:\d+)pm", "$1 PM")
     when_text = F.trim(F.concat(F.col("month"), F.lit(" "), F.col("day"), F.lit(", "), F.col("year"), F.lit(" "), clock))
-    firsts = first_by(fields, ["event_id"], ["page_no", "pos"]).withColumn("when_text", when_text)
+    fields = fields.withColumn("landed", _landed("ingested_at"))
+    firsts = first_by(fields, ["event_id"], ["page_no", "landed", "pos"]).withColumn("when_text", when_text)
     return (
         text.compute_once(firsts, start_datetime=wallclock.parse_wall_time(F.col("when_text")))
         .filter(F.col("title").isNotNull() & F.col("start_datetime").isNotNull())
@@ -117,13 +133,14 @@ def resolve_audiences(pairs: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def library_listings(pages: DataFrame, details: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Cards joined with their landed JSON details (event_id, body) and audience ages.
+    """Cards joined with their landed JSON details (event_id, body[, fetched_at]) and audience ages.
 
+    Of several details of an event the latest counts.
     An unresolved audience falls back to 0–17; `age_resolved` tells the two apart.
     """
     doc = F.try_parse_json("body")
     get = lambda path, kind: F.try_variant_get(F.col("doc"), f"$.event.definition.{path}", kind)
-    parsed = details.select("event_id", doc.alias("doc")).select(
+    parsed = newest(details, "event_id", "fetched_at", "body").select("event_id", doc.alias("doc")).select(
         "event_id",
         get("audience_ids", "array<string>").alias("audience_ids"),
         text.blank_to_null(text.trim(get("description", "string"))).alias("detail_text"),
@@ -159,15 +176,12 @@ def library_listings(pages: DataFrame, details: DataFrame, taxonomy: DataFrame)
         .withColumn("location_lat", point["lat"])
         .withColumn("location_lng", point["lng"])
     )
-    return with_text_labels(rows).withColumn("seq", _sequence("page_no", "pos"))
+    return with_text_labels(rows).withColumn("seq", _sequence("page_no", "landed", "pos")).drop("landed")
 
 
 def _sequence(*columns: str) -> Column:
-    """Batch order from up to three integer positions, as one sortable number."""
-    total = F.lit(0).cast("bigint")
-    for c in columns:
-        total = total * 1_000_000 + F.col(c)
-    return total
+    """Batch order from positions, as one sortable value."""
+    return F.struct(*[F.col(c).cast("bigint").alias(c) for c in columns])
 
 
 def with_text_labels(rows: DataFrame) -> DataFrame:
@@ -195,13 +209,16 @@ def fallback_verdict(counts: DataFrame) -> DataFrame:
 
 
 def extract_feed_items(feeds: DataFrame) -> DataFrame:
-    """Landed feeds (branch, page_no, fetched_at, body) to one row per item, first branch wins."""
+    """Landed feeds (branch, page_no, fetched_at, body) to one row per item, first branch wins.
+
+    Of several landings of a page the latest comes first.
+    """
     branch_order = F.array_position(F.array(*[F.lit(b[0]) for b in fixed.BRANCHES]), F.col("branch"))
     link = F.coalesce(
         text.blank_to_null(F.col("item.link")), text.blank_to_null(F.col("item.guid")), F.lit(fixed.FEED_DEFAULT_LINK)
     )
     slug = F.regexp_replace(F.element_at(F.split("link", "/"), -1), "[^a-zA-Z0-9]", "")
-    by_title = F.substring(F.base64(F.encode("title", "UTF-8")), 1, 20)
+    by_title = F.regexp_replace(F.base64(F.encode("title", "UTF-8")), r"\s", "")
     items = (
         feeds.select("branch", "page_no", "fetched_at", F.from_xml("body", FEED_SCHEMA).alias("feed"))
         .select(
@@ -216,25 +233,32 @@ def extract_feed_items(feeds: DataFrame) -> DataFrame:
     )
     items = text.compute_once(items, title=text.decode_entities(F.coalesce(F.col("item.title"), F.lit(""))))
     items = items.withColumn("event_id", F.coalesce(text.blank_to_null(slug), by_title))
-    firsts = first_by(items, ["event_id"], ["branch_no", "page_no", "pos"])
+    items = items.withColumn("landed", _landed("ingested_at"))
+    firsts = first_by(items, ["event_id"], ["branch_no", "page_no", "landed", "pos"])
     return text.compute_once(firsts, start_datetime=wallclock.parse_wall_time(F.col("published"))).filter(
         F.col("start_datetime").isNotNull()
     )
 
 
 def branch_listings(feeds: DataFrame, detail_pages: DataFrame) -> DataFrame:
-    """Feed items joined with their landed detail pages (url, body) for the age group."""
+    """Feed items joined with their landed detail pages (url, body[, fetched_at]) for the age group.
+
+    Of several landings of a detail page the latest counts. Items without a link of their own have no
+    detail page.
+    """
     spark = feeds.sparkSession
     branches = spark.createDataFrame(
         [(n, a, lat, lng) for n, _, a, lat, lng in fixed.BRANCHES],
         "branch STRING, location_address STRING, location_lat DOUBLE, location_lng DOUBLE",
     )
     found = ages.audience_link_range(F.col("body"))
-    details = detail_pages.select(F.col("url").alias("link"), found.alias("age")).select("link", "age.*")
+    pages = newest(detail_pages, "url", "fetched_at", "body")
+    details = pages.select("url", found.alias("age")).select("url", "age.*")
+    own_link = F.nullif(F.col("link"), F.lit(fixed.FEED_DEFAULT_LINK))
     rows = (
         extract_feed_items(feeds)
         .join(F.broadcast(branches), "branch", "left")
-        .join(details, "link", "left")
+        .join(details, own_link == F.col("url"), "left")
         .select(
             F.concat(F.lit("plano-library-"), F.col("event_id")).alias("id"),
             F.lit("plano-library").alias("source"),
@@ -252,7 +276,7 @@ def branch_listings(feeds: DataFrame, detail_pages: DataFrame) -> DataFrame:
             F.col("item.description").alias("raw_description"),
             F.to_json("item").alias("raw_json"),
             "ingested_at",
-            _sequence("branch_no", "page_no", "pos").alias("seq"),
+            _sequence("branch_no", "page_no", "landed", "pos").alias("seq"),
         )
     )
     # the labels look at the feed's own text, before the clean-up
@@ -280,7 +304,9 @@ def horizon_end(now, months: int = fixed.HORIZON_MONTHS) -> dt.datetime:
 
 
 def _description(body: Column) -> Column:
-    block = F.substring(body, F.instr(body, DESCRIPTION_MARK), F.lit(DESCRIPTION_WINDOW))
+    """Paragraphs from the mark to the end of its element."""
+    rest = F.substring(body, F.instr(body, DESCRIPTION_MARK), F.length(body))
+    block = F.substring_index(rest, "</div>", 1)
     paragraphs = F.transform(
         F.regexp_extract_all(block, F.lit(PARAGRAPH), F.lit(1)), lambda p: text.decode_entities(text.strip_tags(p))
     )
@@ -300,7 +326,7 @@ def calendar_listings(pages: DataFrame, now, base_url: str = "https://www.frisco
         F.col("start_datetime") <= wallclock.instant(horizon_end(now))
     )
     time_text = text.strip_tags(
-        F.replace(F.replace(F.regexp_extract(body, TIME_BLOCK, 1), F.lit("&thinsp;"), F.lit(" ")), F.lit("&nbsp;"), F.lit(" "))
+        F.replace(F.replace(_detail(body, TIME_HEADER), F.lit("&thinsp;"), F.lit(" ")), F.lit("&nbsp;"), F.lit(" "))
     )
     clock = lambda group: F.regexp_extract("time_text", END_CLOCK, group)
     hour = clock(1).try_cast("int")
@@ -310,7 +336,7 @@ def calendar_listings(pages: DataFrame, now, base_url: str = "https://www.frisco
         F.substring("start_wall", 1, 10), F.lit(" "), F.lpad(hour24.cast("string"), 2, "0"), F.lit(":"),
         clock(2), F.lit(":00"),
     )
-    place = F.regexp_replace(F.regexp_extract(body, LOCATION_BLOCK, 1), r"(?is)<a[^>]*>.*?</a>", "")
+    place = F.regexp_replace(_detail(body, LOCATION_HEADER), r"(?is)<a[^>]*>.*?</a>", "")
     location = F.coalesce(
         text.blank_to_null(text.decode_entities(text.strip_tags(place))),
         text.blank_to_null(text.decode_entities(text.strip_tags(F.regexp_extract(body, LOCATION_ITEM, 1)))),
@@ -335,7 +361,7 @@ def calendar_listings(pages: DataFrame, now, base_url: str = "https://www.frisco
         F.when(F.col("image").rlike(REAL_IMAGE), F.col("image")).alias("thumbnail_url"),
         F.concat(F.lit(f"{base_url}/Calendar.aspx?EID="), F.col("eid"), F.lit("&view=detail")).alias("event_url"),
         F.col("fetched_at").alias("ingested_at"),
-        F.col("eid").cast("bigint").alias("seq"),
+        F.struct(F.col("eid").cast("bigint").alias("eid"), _landed().alias("landed")).alias("seq"),
         "eid",
         "start_wall",
     )
@@ -376,17 +402,16 @@ def with_cost_price(rows: DataFrame) -> DataFrame:
 def park_listings(pages: DataFrame) -> DataFrame:
     """Landed payload pages (page_no, fetched_at, body) to listings.
 
-    Fields are read as variants, because the source writes `false` or `[]` where a nested
+    Every landed page counts, whatever it says of the number of pages; of several landings of a page
+    the latest comes first. Fields are read as variants, because the source writes `false` or `[]` where a nested
     object is missing. The local wall time counts, never the payload's own UTC field.
     """
     event = lambda path, kind="string": F.try_variant_get(F.col("event"), f"$.{path}", kind)
     given = lambda path: text.blank_to_null(event(path))
     docs = pages.select("page_no", "fetched_at", F.try_parse_json("body").alias("doc"))
-    events = (
-        docs.filter(
-            F.col("page_no") <= F.greatest(F.lit(1), F.coalesce(F.try_variant_get("doc", "$.total_pages", "int"), F.lit(1)))
-        )
-        .select("page_no", "fetched_at", F.posexplode(F.try_variant_get("doc", "$.events", "array<variant>")).alias("pos", "event"))
+    events = docs.select(
+        "page_no", "fetched_at", _landed().alias("landed"),
+        F.posexplode(F.try_variant_get("doc", "$.events", "array<variant>")).alias("pos", "event"),
     )
     events = text.compute_once(
         events,
@@ -412,7 +437,7 @@ def park_listings(pages: DataFrame) -> DataFrame:
         F.lit(False).alias("is_recurring"),
         F.to_json(F.struct(event("id").alias("id"), event("venue.venue").alias("venue"))).alias("raw_json"),
         F.col("fetched_at").alias("ingested_at"),
-        _sequence("page_no", "pos").alias("seq"),
+        _sequence("page_no", "landed", "pos").alias("seq"),
     )
     return with_cost_price(with_text_labels(parsed))
 

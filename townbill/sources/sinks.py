@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from townbill import schemas
 from townbill.functions.wallclock import utc_date
 from townbill.operators.quality import enforce
-from townbill.session import materialise
+from townbill.session import delete, materialise, staging
 from townbill.sources.tables import as_listings
 
 
@@ -18,27 +18,21 @@ def write_catalogue(listings: DataFrame, path: str) -> None:
 
 
 def replace_source(rows: DataFrame, path: str, source: str) -> int:
-    """Overwrite one source's partition with its next snapshot and return the row count.
+    """Overwrite one source's folder with its next snapshot and return the row count.
 
     The rows are computed into the checkpoint folder first: they derive from the very files
-    being replaced. A snapshot without rows would leave the partition as it was, so that case
-    rewrites the table without the source.
+    being replaced. Only the source's own folder is written or, without rows, removed, so that
+    the runs of several sources do not meet.
     """
     spark = rows.sparkSession
-    ready = materialise(as_listings(rows).filter(F.col("source") == source))
-    n = ready.count()
-    if n:
-        (
-            ready.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("source")
-            .parquet(path)
-        )
-    else:
-        stored = spark.read.schema(schemas.LISTINGS).parquet(path)
-        if not stored.filter(F.col("source") == source).isEmpty():
-            others = materialise(as_listings(stored.filter(F.col("source") != source)))
-            others.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("source").parquet(path)
+    folder = f"{path.rstrip('/')}/source={source}"
+    with staging(spark):
+        ready = materialise(as_listings(rows).filter(F.col("source") == source).drop("source"))
+        n = ready.count()
+        if n:
+            ready.write.mode("overwrite").parquet(folder)
+        else:
+            delete(spark, folder)
     return n
 
 
@@ -53,6 +47,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report(report: DataFrame, path: str) -> None:
     """Write the quality report, then fail the job if any check failed."""
-    report = materialise(report)
-    report.write.mode("overwrite").json(path)
-    enforce(report)
+    with staging(report.sparkSession):
+        report = materialise(report)
+        report.write.mode("overwrite").json(path)
+        enforce(report)

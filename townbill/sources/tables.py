@@ -37,7 +37,8 @@ def as_batch(df: DataFrame) -> DataFrame:
         df = df.withColumn("seq", F.monotonically_increasing_id())
     if "price_locked" not in df.columns:
         df = df.withColumn("price_locked", F.lit(False))
-    return as_listings(df, "seq", "price_locked")
+    extra = [c for c in ("age_resolved",) if c in df.columns]
+    return as_listings(df, "seq", "price_locked", *extra)
 
 
 def recent_export(export: DataFrame, today, days: int = fixed.ANALYTICS_DAYS) -> DataFrame:

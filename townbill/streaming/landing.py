@@ -31,16 +31,18 @@ def publish_stream(
 ) -> StreamingQuery:
     """Guard and publish every micro-batch of landed pages, then stop when none are left.
 
-    A micro-batch is only part of a source, so its missing ids say nothing: the purge is off.
-    Upserting by id makes a replayed micro-batch harmless.
+    A micro-batch is only part of a source, so neither its missing ids nor its size say anything.
+    Upserting by id makes a replayed micro-batch harmless. A micro-batch that is aborted or fails
+    stops the stream before its offset is committed, so that it is tried again.
     """
-    rule = rules[source]
-    partial = {source: type(rule)(rule.classified, False, rule.cleanup_words, rule.fetched_column)}
 
     def publish(batch: DataFrame, _: int) -> None:
-        run_source(
-            batch.sparkSession, source, to_listings(batch), catalogue_path, runs_path, now, answers_for, rules=partial
+        rows = to_listings(batch)
+        result = run_source(
+            batch.sparkSession, source, rows, catalogue_path, runs_path, now, answers_for, rules=rules, partial=True
         )
+        if result.aborted:
+            raise RuntimeError(f"{source}: micro-batch not published: {'; '.join(result.errors)}")
 
     return (
         landings.writeStream.foreachBatch(publish)
