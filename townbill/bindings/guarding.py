@@ -70,19 +70,28 @@ def uniform_shift(spark, sf):
 VERDICT = """
 SELECT c.*, j.overlap, j.moved, j.dominant_offset_min, j.agreement, j.systemic,
        COALESCE(CAST(dropped AS DOUBLE) / NULLIF(incoming, 0), 0) AS implausible_share,
-       CAST(dropped AS DOUBLE) / incoming > 0.1 OR {shifted} OR (stored >= 20 AND kept < stored * 0.5) AS abort
+       CAST(dropped AS DOUBLE) / incoming > 0.1 OR {shifted} OR (stored >= 20 AND kept < stored * 0.5) AS abort,
+       list_filter([
+         CASE WHEN dropped > 0 THEN 'dropped ' || dropped || ' rows with unpublishable start times, e.g. '
+              || (SELECT title FROM screened WHERE bad ORDER BY seq LIMIT 1) END,
+         CASE WHEN CAST(dropped AS DOUBLE) / incoming > 0.1
+              THEN 'ABORT: ' || printf('%.0f', 100.0 * dropped / incoming) || '% of rows had implausible times (max 10%)' END,
+         CASE WHEN systemic THEN CASE WHEN {shifted} THEN 'ABORT: ' ELSE '' END || 'uniform ' || dominant_offset_min || 'min shift across '
+              || printf('%.0f', 100 * agreement) || '% of ' || overlap || CASE WHEN {shifted} THEN ' stored rows' ELSE ' rows, allowed' END END,
+         CASE WHEN stored >= 20 AND kept < stored * 0.5 THEN 'ABORT: batch has ' || kept || ' rows against ' || stored || ' stored' END],
+         lambda x: x IS NOT NULL) AS reasons
 FROM counted c, judged j
 """
 
 
 @query(f"WITH {GUARD} " + VERDICT.format(shifted="systemic"))
 def guard_verdict(spark, sf):
-    return guard.guard_verdict(incoming_orders(spark, sf), stored_orders(spark, sf)).drop("reasons")
+    return guard.guard_verdict(incoming_orders(spark, sf), stored_orders(spark, sf))
 
 
 @query(f"WITH {GUARD} " + VERDICT.format(shifted="false"))
 def guard_verdict_shift_allowed(spark, sf):
-    return guard.guard_verdict(incoming_orders(spark, sf), stored_orders(spark, sf), allow_time_shift=True).drop("reasons")
+    return guard.guard_verdict(incoming_orders(spark, sf), stored_orders(spark, sf), allow_time_shift=True)
 
 
 # the stored rows themselves, one in twenty moved and one in thirty dropped to 3 a.m. local
