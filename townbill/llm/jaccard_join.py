@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from townbill.llm import common
@@ -28,8 +28,8 @@ from townbill.llm.components import components
 
 COUNTERS = 1 << 21
 CHUNK = 1 << 15
-MOST_MATCHES = 4
-VERIFY_COST = 20.0
+MOST_MATCHES = 3
+VERIFY_COST = 4.0
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -164,8 +164,8 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     pair that overlaps enough."""
     col = lambda side, name: F.col(f"{side}.{name}")
     sizes = (100 * F.least(col(a, "size"), col(b, "size")) >= percent * F.greatest(col(a, "size"), col(b, "size")))
-    rest = F.least(col(a, "size") - col(a, "pos"), col(b, "size") - col(b, "pos"))
-    return sizes & (rest + F.least(col(a, "matches"), col(b, "matches")) - 1 >= overlap_for(col(a, "size"), col(b, "size"), percent))
+    rest = F.least(col(a, "size") - col(a, "pos"), col(b, "size") - col(b, "pos")) + F.least(col(a, "matches"), col(b, "matches")) - 1
+    return sizes & (F.least(rest, col(a, "reach"), col(b, "reach")) >= overlap_for(col(a, "size"), col(b, "size"), percent))
 
 
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -207,16 +207,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     # the same row may stand in the table more than once
     one = one.groupBy("cls").agg(F.any_value("n_shingles").alias("size"), F.any_value("matches").alias("matches"), F.any_value("prefix").alias("prefix"))
     entries = one.select("cls", "size", "matches", F.posexplode("prefix").alias("pos", "gram"))
-    lists = entries.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "size", "pos", "matches")).alias("head"))
-    live = common.stored(entries.join(lists.where("n > 1").select("gram", "head"), "gram"), "prefixes")
-
-    star = live.select(F.struct("cls", "size", "pos", "matches").alias("e"), "head").where(F.col("e.cls") != F.col("head.cls")).where(_may_link("e", "head", percent))
-    shared = star.groupBy(F.col("e.cls").alias("a"), F.col("head.cls").alias("b")).agg(F.count("*").alias("n"), F.max(F.least("e.matches", "head.matches")).alias("k")).where("n >= k")
+    # grams of one list only are met by nobody; those before a shared gram are surely not in the partner, as
+    # the order would put them into its prefix too. `reach` is the overlap that is left at a gram
+    lists = entries.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    alive = F.row_number().over(Window.partitionBy("cls").orderBy("pos"))
+    live = entries.join(lists.select("gram"), "gram").withColumn("reach", F.col("size") - F.col("pos") + alive - 1)
+    live = common.stored(live.where(100 * F.col("reach") >= percent * F.col("size")), "prefixes")
+    # the head of a list is the document with the fewest grams before: the least edited of a group of copies
+    heads = live.groupBy("gram").agg(F.min(F.struct("pos", F.xxhash64("cls").alias("h"), "cls", "size", "matches", "reach")).alias("head"))
+    own = F.struct("cls", "size", "pos", "matches", "reach").alias("e")
+    star = live.select("gram", own).join(heads, "gram").where(F.col("e.cls") != F.col("head.cls")).where(_may_link("e", "head", percent))
+    shared = star.groupBy(F.col("e.cls").alias("a"), F.col("head.cls").alias("b")).agg(F.count("*").alias("n"))
     best = shared.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
     links = verify(best, reps, rows, n, percent)
     groups = components(links)
 
-    known = common.stored(live.drop("head").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "prefixes")
+    known = common.stored(live.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "prefixes")
     x, y = known.alias("x"), known.alias("y")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
     pairs = met.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("n"), F.max(F.least("x.matches", "y.matches")).alias("k")).where("n >= k").select("a", "b")
