@@ -78,11 +78,12 @@ def slots(words: Column) -> Column:
 def weights(docs: DataFrame, trusted: DataFrame, smooth: float = 1.0) -> DataFrame:
     """(slot, weight): log of target over raw probability of each slot; SLOTS rows whatever the input.
 
-    `trusted` holds the doc_ids of the target. Counts combine by slot before the exchange. Slots that no
+    `trusted` holds the doc_ids of the target. Counts combine by slot before the exchange;
+    texts meet the ids by a sorted join at every size. Slots that no
     document has are missing; without trusted documents all weights follow from the smoothing.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(1))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(ids, "doc_id", "left")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).join(ids.hint("merge"), "doc_id", "left")
     seen = rows.select("trusted", F.explode(slots(words_of(F.col("text")))).alias("slot"))
     counts = seen.groupBy("slot").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     both = common.stored(counts, "slots")
