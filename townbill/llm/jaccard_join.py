@@ -170,7 +170,10 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of classes that are links, judged on their whole sets."""
-    texts = docs.join(reps.select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "cls"), (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id"))).select("cls", "text")
+    wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct().join(reps, "cls").select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "cls")
+    texts = docs.join(wanted, (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+    # the texts of the pairs only, once each
+    texts = common.stored(texts.groupBy("cls").agg(F.any_value("text").alias("text")), "texts")
     with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -219,7 +222,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     star = live.select("gram", own).join(heads, "gram").where(F.col("e.cls") != F.col("head.cls")).where(_may_link("e", "head", percent))
     shared = star.groupBy(F.col("e.cls").alias("a"), F.col("head.cls").alias("b")).agg(F.count("*").alias("n"))
     best = shared.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    links = verify(best, reps, rows, n, percent)
+    links = verify(common.stored(best, "pairs"), reps, rows, n, percent)
     groups = components(links)
 
     known = common.stored(live.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "prefixes")
@@ -246,8 +249,9 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     own = docs.columns
     told = common.stored(jaccard_components(docs, n, percent), "told").where("stays")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), F.struct(*[docs[c] for c in own]).alias("row"))
-    keys = told.groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("n_shingles"))
+    keys = told.groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("times"))
     same = rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["text_hash"] == keys["text_hash"])
-    kept = rows.join(keys, same).select(rows["doc_id"], rows["text_hash"], "row", "n_shingles")
-    empty = kept.where("n_shingles = 0").select("row")
-    return kept.where("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row")).select("row").unionAll(empty).select("row.*")
+    kept = rows.join(keys, same).select(rows["doc_id"], rows["text_hash"], "row", "n_shingles", "times")
+    twice = (F.col("times") > 1) & (F.col("n_shingles") > 0)
+    once = kept.where(twice).groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+    return kept.where(~twice).select("row").unionAll(once.select("row")).select("row.*")
