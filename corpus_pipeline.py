@@ -43,7 +43,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
     common.ship(spark)
-    return mixing.take(docs.select(COLUMNS), mixing.plan(mixing.sizes_of(docs), WEIGHTS))
+    with common.scratch(spark):
+        plan = mixing.plan(mixing.sizes_of(docs), WEIGHTS)
+    return mixing.take(docs.select(COLUMNS), plan)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from townbill.session import delete
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -28,9 +33,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "rows") -> DataFrame:
-    """The rows as a table in the shared folder: they are computed once and survive lost executors."""
+class _Scratch(threading.local):
+    """Paths of the tables of the scopes that this thread is in, innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCRATCH = _Scratch()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within go at the end, well or not; what leaves the scope must not read them."""
+    _SCRATCH.open.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.open.pop():
+            delete(spark, path)
+
+
+def stored(df: DataFrame, name: str = "rows", leaves: bool = False) -> DataFrame:
+    """The rows as a table in the shared folder: they are computed once and survive lost executors.
+
+    A table that `leaves` belongs to the scope around the present one.
+    """
     path = new_path(df.sparkSession, name)
+    scopes = _SCRATCH.open[:-1] if leaves else _SCRATCH.open
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -189,18 +189,8 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     return common.stored(both.mapInArrow(judge, "a long, b long").distinct(), "links")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, stays), one row per row of `docs`.
-
-    `stays` marks one text of each component: that of its smallest id, then of its smallest hash.
-
-    Null texts and those without words have an empty set and link with nothing; their component is their
-    own id. Rows with equal ids are documents of their own. A component of rows without an id has none.
-    An empty table gives an empty table; other columns are not read. N-grams are compared by 64-bit
-    fingerprints of their words.
-    """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("text_hash"))
-    signed = common.stored(signatures(rows, n, percent), "signatures")
+def _components_of(signed: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(cls, component_id, head): the component of each class, and the text that stands for it."""
     some = signed.where("n_shingles > 0")
     reps = common.stored(
         some.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")).select("cls", "first", "rep.doc_id", "rep.text_hash"),
@@ -234,7 +224,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     named = common.stored(reps.select("cls", "first", first.alias("rep")).join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", "rep", F.coalesce("component", "cls").alias("component")), "components")
-    named = named.join(named.groupBy("component").agg(F.min("first").alias("component_id"), F.min("rep").alias("head")), "component").select("cls", "component_id", "head")
+    named = common.stored(named.join(named.groupBy("component").agg(F.min("first").alias("component_id"), F.min("rep").alias("head")), "component").select("cls", "component_id", "head"), "heads", leaves=True)
+    return named
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, stays), one row per row of `docs`.
+
+    `stays` marks one text of each component: that of its smallest id, then of its smallest hash.
+
+    Null texts and those without words have an empty set and link with nothing; their component is their
+    own id. Rows with equal ids are documents of their own. A component of rows without an id has none.
+    An empty table gives an empty table; other columns are not read. N-grams are compared by 64-bit
+    fingerprints of their words.
+    """
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("text_hash"))
+    signed = common.stored(signatures(rows, n, percent), "signatures")
+    with common.scratch(docs.sparkSession):
+        named = _components_of(signed, rows, n, percent)
+    some = signed.where("n_shingles > 0")
     stays = F.col("text_hash").eqNullSafe(F.col("head.text_hash")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
     linked = some.join(named, "cls").select("doc_id", "text_hash", "n_shingles", "component_id", stays.alias("stays"))
     alone = signed.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
@@ -247,7 +255,8 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     Where the same row stands more than once, it stays once.
     """
     own = docs.columns
-    told = common.stored(jaccard_components(docs, n, percent), "told").where("stays")
+    with common.scratch(docs.sparkSession):
+        told = common.stored(jaccard_components(docs, n, percent), "told", leaves=True).where("stays")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), F.struct(*[docs[c] for c in own]).alias("row"))
     keys = told.groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("times"))
     same = rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["text_hash"] == keys["text_hash"])
