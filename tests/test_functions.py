@@ -133,7 +133,7 @@ PRICED = [
     ("B", "Float night", "COST: free to members. Others - $7 youth", False, "paid", "confirmed"),
     ("C", "Weekly walk", "Families can drop by every week this summer.", False, "free", "inferred"),
     ("D", "Cookie evening", "In this class each guest must have a purchased ticket. No refunds.", True, "paid", "confirmed"),
-    ("E", "Museum night", "That means FREE ADMISSION to all museums, even a class.", False, "free", "confirmed"),
+    ("E", "Museum night", "Today it is FREE ADMISSION everywhere, even for a class.", False, "free", "confirmed"),
     ("F", "Party", "Each person must purchase a ticket. BUY TICKETS HERE.", False, "paid", "confirmed"),
     ("G", "Last splash", "Cost: free for members. Event pass: $7 youth, $9 adults.", False, "paid", "confirmed"),
     # known gaps keep their present result

@@ -79,7 +79,7 @@ STRUCTURAL = r"\b(camp|class|clinic|workshop|lessons|league|academy|tournament|p
 
 # the price phrases themselves, planted into order texts
 PRICE_TEXTS = (
-    "Cost: $7 youth, free for members", "FREE ADMISSION to our museums", "a creative class for all",
+    "Tickets are $12 a seat, members enter free", "Everyone gets FREE ADMISSION on Sunday", "a creative class for all",
     "drop in, feeling great", "Reservations required", "Fees apply", "no cost to attend", "Classic costume night",
     "register for 5 sessions", "éclass of its own",
 )

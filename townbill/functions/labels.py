@@ -43,16 +43,15 @@ def city_of(source: Column, dim: dict = fixed.SOURCE_DIM) -> Column:
 
 
 # ---- fixed values: supervision texts ----
-ASK = "Can kids be dropped off? "
-LIBRARY_TEEN = ASK + "Yes — teens 13+ may attend alone"
-LIBRARY_YOUNG = ASK + "No — adult must stay with child"
-LIBRARY_MIXED = ASK + "Only if child is 10 or older (Frisco Library policy)"
-LIBRARY_UNKNOWN = ASK + "Check with Frisco Library"
-STAY = ASK + "Plan to stay"
+LIBRARY_TEEN = "Can kids be dropped off? Yes — teens 13+ may attend alone"
+LIBRARY_YOUNG = "Can kids be dropped off? No — adult must stay with child"
+LIBRARY_MIXED = "Can kids be dropped off? Only if child is 10 or older (Frisco Library policy)"
+LIBRARY_UNKNOWN = "Can kids be dropped off? Check with Frisco Library"
+STAY = "Can kids be dropped off? Plan to stay"
 STAY_NOTE = (
     "No formal Plano Library policy — staff generally prefer a parent stay with younger kids, or remain in the library."
 )
-VENUE = ASK + "Check with venue"
+VENUE = "Can kids be dropped off? Check with venue"
 VENUE_NOTE = "Check with venue before dropping off."
 
 
