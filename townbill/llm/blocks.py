@@ -45,6 +45,7 @@ class Block:
 
     @staticmethod
     def of(table: pa.Table) -> Block:
+        common.keep_only("powers")
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
         text = table.column("text").cast(pa.large_binary())
         text = text.chunk(0) if text.num_chunks else pa.array([], pa.large_binary())
@@ -60,6 +61,7 @@ def _codes() -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+common.cached("powers", _POWERS.clear)
 
 
 def _powers(base: int, n: int) -> np.ndarray:

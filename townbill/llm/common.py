@@ -6,9 +6,10 @@ import math
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +89,27 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str | None = None) -> None:
+    """At the start of a task: drops what an earlier step left in this reused worker, but for `name`."""
+    for other, clear in _CACHES.items():
+        if other != name:
+            clear()
+
+
+def cached(name: str, clear: Callable[[], None]) -> None:
+    _CACHES[name] = clear
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller pieces, as texts and results of a whole batch may be large."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so that they need not have it installed."""
     import zipfile

@@ -94,8 +94,9 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     """Counters of how many documents have each n-gram, by hash; a fixed-size table over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only("powers")
         seen = np.zeros(COUNTERS, np.int32)
-        for batch in batches:
+        for batch in common.slices(batches):
             for own in sets_of(batch.column(0).to_pylist(), n):
                 np.add.at(seen, (own % U64(COUNTERS)).astype(np.int64), 1)
         parts = seen.reshape(-1, CHUNK)
@@ -138,8 +139,9 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     seen = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only("powers")
         often = seen.value
-        for batch in batches:
+        for batch in common.slices(batches):
             sizes, classes, matches, prefixes = [], [], [], []
             for own in sets_of(batch.column("text").to_pylist(), n):
                 size = len(own)
@@ -178,7 +180,8 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     both = with_a.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        common.keep_only("powers")
+        for batch in common.slices(batches):
             good = []
             for x, y in zip(sets_of(batch.column(2).to_pylist(), n), sets_of(batch.column(3).to_pylist(), n), strict=True):
                 shared = len(np.intersect1d(x, y, assume_unique=True))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from townbill.llm import common
+
 SLOTS = 1 << 13
 UNKNOWN = "und"
 # texts counted together, to bound memory: rows and bytes
@@ -119,8 +121,9 @@ def fit(train: DataFrame, sample: int = 400, per_language: int = 3, reject: floa
     labelled = train.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only()
         seen, n = np.zeros(SLOTS, np.int64), 0
-        for batch in batches:
+        for batch in common.slices(batches):
             for own in batched(batch.column(0).to_pylist()):
                 seen += (counts_of(own) > 0).sum(axis=0)
                 n += len(own)
@@ -167,7 +170,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        common.keep_only()
+        for batch in common.slices(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             if shared.value is None:
                 found = ([UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from townbill.llm import common
 from townbill.llm.tokens import Encoder, encoder
 
 CHUNK = 16_384
@@ -69,7 +70,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in common.slices(batches):
             sizes, tokens = [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""

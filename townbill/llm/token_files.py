@@ -84,7 +84,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.uint32(end_id).astype("<u4").tobytes()
-        for batch in batches:
+        for batch in common.slices(batches):
             doc_ids = batch.column(0).to_pylist()
             shards = [len(bounds) if d is None else int(np.searchsorted(bounds, d, "right")) for d in doc_ids]
             ids = []

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from functools import lru_cache
 
+from townbill.llm import common
+
 SPLIT_OFF = frozenset(b",.;:!?")
 LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
@@ -74,6 +76,14 @@ def pack(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def _encoder(path: str) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    common.keep_only("tokens")
+    return _encoder(path)
+
+
+common.cached("tokens", _encoder.cache_clear)
