@@ -41,6 +41,16 @@ def test_language(make):
     assert language_id.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_copies(spark, make):
+    few = ["kissa istuu ikkunalla", "koira juoksee metsässä", "lumi sataa hiljaa maahan"]
+    copies = make([(k, t, "fi", "a") for k, t in enumerate(few)]).crossJoin(spark.range(10_000)).drop("id")
+    for docs in (copies, copies.unionByName(make(prose(3)))):
+        model = language_id.fit(docs)
+        assert "fi" in model.languages
+        assert sum(model.languages[k] == "fi" for k in model.owner) == 3  # a centroid for each text
+        assert [r.lang_pred for r in language_id.identify(make([(1, t) for t in few]), model).collect()] == ["fi"] * 3
+
+
 def brute_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

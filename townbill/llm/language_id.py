@@ -144,10 +144,13 @@ def fit(train: DataFrame, sample: int = 400, per_language: int = 3, reject: floa
 def _fit_sample(labelled: DataFrame, idf: np.ndarray, sample: int, per_language: int, reject: float) -> Model:
     from pyspark.sql import Window
 
-    # the hash range that holds about 4 * sample texts of each language, then the first of them: the range
-    # is a number per language, so that no other text leaves the scan
-    reach = [F.lit(x) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect() for x in (r["lang"], 4 * sample * (1 << 30) // r["n"])]
-    wide = labelled.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) < F.element_at(F.create_map(*reach), F.col("lang")))
+    # the hash range that holds about 4 * sample distinct texts of each language, then the first of them: the
+    # range is a number per language, so that no other text leaves the scan. Copies share one hash, so they
+    # must not narrow it
+    hashed = labelled.withColumn("h", F.xxhash64("text"))
+    distinct = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("n"))
+    reach = [F.lit(x) for r in distinct.collect() for x in (r["lang"], 4 * sample * (1 << 30) // r["n"])]
+    wide = hashed.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(F.create_map(*reach), F.col("lang")))
     # a text that stands often counts once, and its copies meet before the exchange
     wide = wide.groupBy("lang", "h").agg(F.any_value("text").alias("text"))
     first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
