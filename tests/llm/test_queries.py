@@ -12,7 +12,7 @@ from test_rules import brute_base, brute_targets
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
-from townbill.llm import common
+from townbill.llm import common, language_id
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry_module.queries()
@@ -76,6 +76,25 @@ def test_op5(spark):
     assert np.mean(unseen) >= 0.95
 
 
+def test_op5_rejects_other_languages(spark):
+    common.ship(spark)
+    strange = [
+        "Kissa istuu ikkunalla ja katselee ulos, kun lumi sataa hiljaa maahan.",
+        "Wczoraj poszliśmy do lasu, żeby zbierać grzyby na obiad dla całej rodziny.",
+        "Dün akşam arkadaşlarımla birlikte deniz kenarında uzun bir yürüyüş yaptık.",
+        "Watoto wanacheza mpira uwanjani wakati mama anapika chakula cha jioni.",
+        "Вчера вечером мы гуляли по берегу реки и разговаривали о погоде.",
+    ]
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    # a few odd short texts do not set the floor of a whole language
+    odd = spark.createDataFrame([(f"{w}.", k) for w in ("Xq", "Zj", "Vwk", "Qqz") for k in ("en", "de", "fr", "es")], "text string, lang string")
+    model = language_id.fit(given.select("text", "lang").unionByName(odd))
+    assert model.predict(strange + [" ".join([t] * 40) for t in strange])[2] == [True] * 10
+    assert model.predict(["A.", "De.", "Avec.", "The.", "Of the."])[2] == [False] * 5
+    known = language_id.identify(given.where("lang IS NOT NULL"), model)
+    assert known.where("rejected AND lang_pred <> 'und'").count() <= 0.001 * known.count()
+
+
 def test_op6(spark, docs):
     got = rows(spark, "op6_jaccard_join", "doc_id", "n_shingles", "component_id")
     assert sorted((str(a), b, str(c)) for a, b, c in got) == brute_sets(docs, 3, 90)

@@ -4,8 +4,9 @@ Texts become normalised TF-IDF vectors of hashed letter n-grams. Document freque
 all training documents; the centroids of each language come from spherical k-means over a bounded
 sample of its training documents, `sample` per language, the smallest by hash. The model is a few fixed
 arrays (languages * centroids * slots) whatever the input. A text is compared with all centroids by
-cosine; the nearest gives the language, and a text further from it than nearly all training texts are
-from theirs is marked as rejected.
+cosine; the nearest gives the language, and a text further from it than nearly all stretches of training
+texts with as many n-grams are from theirs is marked as rejected. Short texts lie further from a centroid
+than long ones, so the least cosine is a function of the number of n-grams.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SLOTS = 1 << 13
 UNKNOWN = "und"
 # texts counted together, to bound memory: rows and bytes
 ROWS, BYTES = 48, 1 << 20
+# lengths in letters of the stretches that the least cosines are fitted on, and the share of them left below
+LENGTHS, LEAST = [4 << k for k in range(9)], 0.01
 
 
 def letters_only(text: str) -> bytes:
@@ -80,20 +83,28 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # languages * per_language rows
     owner: np.ndarray  # language of each centroid
-    floor: np.ndarray  # smallest cosine that is not rejected, by language
+    grams: list[np.ndarray]  # numbers of n-grams, rising, by language
+    floor: list[np.ndarray]  # smallest cosine that is not rejected at each of them, by language
+
+    def least(self, language: int, grams: float) -> float:
+        """Smallest cosine that is not rejected; 0 for texts shorter than all stretches it was fitted on."""
+        if not len(self.grams[language]):
+            return 0.0
+        return float(np.interp(np.log1p(grams), np.log1p(self.grams[language]), self.floor[language], left=0.0))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
         """Language, cosine and rejection of each text; `und`, 0 and rejected where it has no letter."""
         names, scores, rejected = [], [], []
         for own in batched(texts):
-            near = vectors(counts_of(own), self.idf) @ self.centroids.T
-            for text, row in zip(own, near, strict=True):
+            counts = counts_of(own)
+            near = vectors(counts, self.idf) @ self.centroids.T
+            for text, row, grams in zip(own, near, counts.sum(axis=1), strict=True):
                 if not any(c.isalpha() for c in text):
                     names.append(UNKNOWN), scores.append(0.0), rejected.append(True)
                     continue
                 best = int(row.argmax())
                 score = min(1.0, max(0.0, float(row[best])))
-                names.append(self.languages[self.owner[best]]), scores.append(score), rejected.append(score < self.floor[self.owner[best]])
+                names.append(self.languages[self.owner[best]]), scores.append(score), rejected.append(score < self.least(self.owner[best], float(grams)))
         return names, scores, rejected
 
 
@@ -110,14 +121,40 @@ def _centres(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _least_cosines(texts: list[str], points: np.ndarray, idf: np.ndarray, per_language: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of n-grams and the least cosine that passes at each: `share` of the low quantile over
+    stretches of the texts. A text is compared with centroids of the other half of them, as a text to be
+    judged took no part in them either; with a single text nothing is known, and nothing is rejected."""
+    if len(texts) < 2:
+        return np.zeros(0), np.zeros(0)
+    halves = [_centres(points[k::2], min(per_language, len(points[k::2]))) for k in (0, 1)]
+    grams, floor = [], []
+    for length in LENGTHS:
+        sizes, cosines = [], []
+        for k in (0, 1):
+            long = [t for t in texts[k::2] if len(t) >= length]
+            parts = [t[at : at + length] for t in long for at in {0, (len(t) - length) // 2}]
+            for own in batched(parts):
+                counts = counts_of(own)
+                some = counts.sum(axis=1) > 0
+                sizes += counts.sum(axis=1)[some].tolist()
+                cosines += (vectors(counts, idf) @ halves[1 - k].T).max(axis=1)[some].tolist()
+        # stretches of one length may have other numbers of n-grams in another language
+        at = float(np.median(sizes)) if sizes else 0.0
+        if sizes and (not grams or at > grams[-1]):
+            grams.append(at)
+            floor.append(share * float(np.quantile(cosines, LEAST, method="lower")))
+    return np.asarray(grams), np.asarray(floor)
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(train: DataFrame, sample: int = 400, per_language: int = 3, reject: float = 0.25) -> Model | None:
+def fit(train: DataFrame, sample: int = 400, per_language: int = 3, reject: float = 0.75) -> Model | None:
     """Learns from (text, lang): `sample` texts per language are used for the centroids, all for the
-    document frequencies. `reject`: share of the least cosine of a language's sample below which a text
-    is rejected. None if nothing is labelled."""
+    document frequencies. `reject`: share of the cosine that nearly all stretches of a language's sample
+    with as many n-grams reach, below which a text is rejected. None if nothing is labelled."""
     labelled = train.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +193,17 @@ def _fit_sample(labelled: DataFrame, idf: np.ndarray, sample: int, per_language:
     first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
     rows = wide.select("lang", "h", "text").withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).select("lang", "text").orderBy("lang", "k").collect()
     languages = sorted({r["lang"] for r in rows})
-    centroids, owner, floor = [], [], []
+    centroids, owner, grams, floor = [], [], [], []
     for i, name in enumerate(languages):
-        points = np.concatenate([vectors(counts_of(own), idf) for own in batched([r["text"] for r in rows if r["lang"] == name])])
+        texts = [r["text"] for r in rows if r["lang"] == name]
+        points = np.concatenate([vectors(counts_of(own), idf) for own in batched(texts)])
         own = _centres(points, min(per_language, len(points)))
         centroids.append(own)
         owner += [i] * len(own)
-        floor.append(reject * float((points @ own.T).max(axis=1).min()))
-    return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.asarray(owner), np.asarray(floor))
+        known = _least_cosines(texts, points, idf, per_language, reject)
+        grams.append(known[0])
+        floor.append(known[1])
+    return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.asarray(owner), grams, floor)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
