@@ -9,7 +9,8 @@ many as the smaller of the two k.
 Frequencies come from one fixed-size table of counters over all documents. Equal sets are one class.
 Components do not need all pairs of a group: first each document is verified against the one document
 of its prefix lists that it shares most with; after that only documents of different components are
-paired, all of those that may be similar.
+paired, all of those that may be similar. So the links inside a component are not all found, and the
+operator gives neither links nor their number per document.
 """
 
 from __future__ import annotations
