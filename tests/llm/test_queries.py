@@ -9,6 +9,9 @@ import pytest
 from test_pairs import brute_sets, brute_vectors
 from test_repeats import brute_bytes, brute_words
 from test_rules import brute_base, brute_targets
+from test_spelling import brute as brute_spelling
+from test_spelling import counted
+from test_whitening import brute as brute_whitening
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
@@ -40,7 +43,7 @@ def sha(data):
 
 
 def test_names():
-    assert {n.split("_")[0] for n in QUERIES if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert QUERIES["pipeline"] is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 5
 
 
@@ -174,3 +177,28 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
     assert {d for d in count} == {r.doc_id for r in kept["packing"]}
     assert sum(r.piece == 0 for r in kept["packing"]) == len(kept["mixing"])
     assert corpus_pipeline.run(spark, SF).count() == len(kept["packing"])
+
+
+def test_op11(spark):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    want = con.sql(entry_module.oracle_sql()["op11_decontamination"])
+    assert rows(spark, "op11_decontamination", *want.columns) == sorted(want.fetchall(), key=str)
+
+
+def test_op12(spark):
+    vectors = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
+    n, _, deviation, white, explained = brute_whitening(vectors, 64, 16)
+    out = {(r.vec_id, r.component): r for r in QUERIES["op12_embedding_whitening"](spark, SF).collect()}
+    assert sorted(out) == sorted((vectors[k][0], c + 1) for k in white for c in range(16))
+    a = np.array([[out[vectors[k][0], c + 1].whitened for c in range(16)] for k in white])
+    b = np.array(list(white.values()))
+    assert np.abs(a * np.sign((a * b).sum(0)) - b).max() < 1e-8
+    assert all(r.n == n and r.identity_error <= 1e-4 and abs(r.explained - explained[r.component - 1]) < 1e-9 for r in out.values())
+    assert all(out[vectors[k][0], 1].deviation == deviation[k] for k in white)
+
+
+def test_op13(spark, docs):
+    got = rows(spark, "op13_spelling_variants", "word", "form", "root", "n", "n_near", "form_n")
+    assert got == sorted(brute_spelling(counted(docs)), key=str)
