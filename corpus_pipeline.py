@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townbill.llm import common, jaccard_join, language_id, mixing, packing, suffix_dedup
-from townbill.session import pin_session
+from townbill.session import delete, pin_session
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
 WEIGHTS = [5, 2, 1]
+#: a passage of more than 50 words of three letters on average, and a space each, has over 200 bytes
+REPEAT_BYTES = 200
 ORACLE_SQL = None  # language vectors, components and packing have no SQL; tests/llm hold brute-force versions
 
 
@@ -28,15 +30,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by word 3-gram sets with a Jaccard similarity of 0.9 or more."""
+    """One document of each group linked by word 5-gram sets with a Jaccard similarity of 0.8 or more."""
     common.ship(spark)
-    return jaccard_join.keep_one(docs).select(COLUMNS)
+    return jaccard_join.keep_one(docs, n=5, percent=80).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes covered by a 400-byte string that also starts elsewhere; documents stay."""
+    """Texts without the bytes covered by a string of REPEAT_BYTES that also starts elsewhere; documents stay."""
     common.ship(spark)
-    left = suffix_dedup.suffix_dedup(docs, carry=("lang", "source"), as_text=True)
+    left = suffix_dedup.suffix_dedup(docs, length=REPEAT_BYTES, carry=("lang", "source"), as_text=True)
     return left.select("doc_id", F.col("kept").alias("text"), "row.lang", "row.source", F.length("kept").cast("long").alias("n_chars"))
 
 
@@ -44,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
     common.ship(spark)
     with common.scratch(spark):
-        plan = mixing.plan(mixing.sizes_of(docs), WEIGHTS)
+        plan = common.stored(mixing.plan(mixing.sizes_of(docs), WEIGHTS), "plan", leaves=True)
     return mixing.take(docs.select(COLUMNS), plan)
 
 
@@ -64,9 +66,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pin_session(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    """The last stage's rows; a stage's table goes once the next one's is written, the one before the last stays."""
+    docs, read = pin_session(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
         rows = stage(spark, docs, sf_dir)
-        if name == STAGES[-1][0]:
-            return rows
-        docs = common.stored(rows, name)
+        path = common.new_path(spark, name)
+        rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        if read:
+            delete(spark, read)
+        read = path
+    return STAGES[-1][1](spark, docs, sf_dir)
