@@ -142,7 +142,7 @@ def test_op10(spark):
         assert (r.size, r.source_size) == (size[r.doc_id], by_source[s]) and r.target == pytest.approx(want[s]) and r.taken <= 2 * r.size
         taken[s] = taken.get(s, 0) + r.taken
         largest[s] = max(largest.get(s, 0), r.size)
-    assert all(0 <= want[s] - t + 1e-6 <= largest[s] + 1e-6 for s, t in taken.items())
+    assert all(abs(want[s] - t) <= largest[s] / 2 + 1e-6 for s, t in taken.items())
 
 
 def test_pipeline_stage_by_stage(spark, docs, tmp_path):
@@ -159,9 +159,9 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
     assert all(given[d] == t for d, t in first.items()) and len(first) >= 0.97 * len(given)
     assert all(not any(c.isalpha() for c in given[d] or "") for d in given.keys() - first.keys()) or len(given) - len(first) < 5
     second = {r.doc_id: r.text for r in kept["ngram_jaccard_join"]}
-    assert {str(d) for d in second} == {c for _, _, c in brute_sets(sorted(first.items()), 3, 90)}
+    assert {str(d) for d in second} == {c for _, _, c in brute_sets(sorted(first.items()), 5, 80)}
     third = {r.doc_id: r for r in kept["suffix_array_dedup"]}
-    assert {d: r.text for d, r in third.items()} == {d: k.decode("utf-8", "ignore") for d, _, k, _ in brute_bytes(sorted(second.items()), 400)}
+    assert {d: r.text for d, r in third.items()} == {d: k.decode("utf-8", "ignore") for d, _, k, _ in brute_bytes(sorted(second.items()), corpus_pipeline.REPEAT_BYTES)}
     assert all(r.n_chars == len(r.text) for r in third.values())
     sizes, taken = {}, {}
     for r in third.values():
@@ -170,7 +170,7 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
         assert r.text == third[r.doc_id].text
         taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
     goals = brute_targets(sizes, [5, 2, 1], 1.5, 2.0)
-    assert all(0 <= goals[s] - taken.get(s, 0) + 1e-6 <= 2 * max(len(r.text.split()) for r in third.values()) for s in sizes)
+    assert all(abs(goals[s] - taken.get(s, 0)) <= max(len(r.text.split()) for r in third.values()) / 2 + 1e-6 for s in sizes)
     count = {}
     for r in kept["mixing"]:
         count[r.doc_id] = count.get(r.doc_id, 0) + 1

@@ -30,7 +30,7 @@ LEAST_LENGTH = 7
 LEAST_COUNT = 2
 RATIO = 10
 CLASSES = 64
-SHARD_WORDS = 1 << 18
+SHARD_WORDS = 1 << 14
 BITS_EACH = 16
 ROUND_BYTES = 32 << 20
 BATCH_LETTERS = 200_000
