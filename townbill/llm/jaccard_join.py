@@ -31,6 +31,7 @@ COUNTERS = 1 << 21
 CHUNK = 1 << 15
 MOST_MATCHES = 3
 VERIFY_COST = 4.0
+FILTER_BITS = 1 << 24
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -171,10 +172,24 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return sizes & (F.least(rest, col(a, "reach"), col(b, "reach")) >= overlap_for(col(a, "size"), col(b, "size"), percent))
 
 
+def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `docs` whose text may be wanted, all that are and some others, before anything is shuffled.
+
+    One bit per slot of hashes, 64 to a row: the broadcast side has FILTER_BITS / 64 rows at most.
+    """
+    slot = lambda h: F.pmod(h, F.lit(FILTER_BITS))
+    bit = lambda h: F.shiftleft(F.lit(1).cast("long"), slot(h).bitwiseAND(F.lit(63)).cast("int"))
+    group = lambda h: F.shiftright(slot(h), 6)
+    bits = wanted.groupBy(group(F.col("r_hash")).alias("bit_group")).agg(F.bit_or(bit(F.col("r_hash"))).alias("bits"))
+    found = docs.withColumn("bit_group", group(F.col("text_hash"))).join(F.broadcast(bits), "bit_group")
+    return found.where(F.col("bits").bitwiseAND(bit(F.col("text_hash"))) != 0).drop("bit_group", "bits")
+
+
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of classes that are links, judged on their whole sets."""
     wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct().join(reps, "cls").select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "cls")
-    texts = docs.join(wanted, (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+    wanted = common.stored(wanted, "wanted")
+    texts = _perhaps(docs, wanted).join(wanted, (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
     # the texts of the pairs only, once each
     texts = common.stored(texts.groupBy("cls").agg(F.any_value("text").alias("text")), "texts")
     with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
