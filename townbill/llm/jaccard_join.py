@@ -178,7 +178,7 @@ def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     One bit per slot of hashes, 64 to a row: the broadcast side has FILTER_BITS / 64 rows at most.
     """
     slot = lambda h: F.pmod(h, F.lit(FILTER_BITS))
-    bit = lambda h: F.shiftleft(F.lit(1).cast("long"), slot(h).bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), slot(h).bitwiseAND(F.lit(63)).cast("int"))
     group = lambda h: F.shiftright(slot(h), 6)
     bits = wanted.groupBy(group(F.col("r_hash")).alias("bit_group")).agg(F.bit_or(bit(F.col("r_hash"))).alias("bits"))
     found = docs.withColumn("bit_group", group(F.col("text_hash"))).join(F.broadcast(bits), "bit_group")
