@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,58 @@ def test_likes_of_one_hour_are_spread(spark):
     assert [r["count"] for r in like_counts(log).collect()] == [count]
     ranged = log.repartitionByRange(8, "event_id", "ts", "seq").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(ranged) >= 6 and max(r["count"] for r in ranged) < 1500
+
+
+def test_total_counts_a_session_once(spark, rows):
+    got = {(r["channel"], r["is_total"]): r for r in dicts(eg.funnel_with_total(rows))}
+    assert {k: v for k, v in got[None, True].items() if k not in ("channel", "is_total")} == one(eg.funnel(rows))
+    by = {r["channel"]: r for r in dicts(eg.funnel_by_channel(rows))}
+    assert {c: {k: v for k, v in r.items() if k != "is_total"} for (c, total), r in got.items() if not total} == by
+    # one session on two channels and none: it converts once in all, and in the one channel that saw it convert
+    spread = [dict(session_id="s", channel="a", event_name="event_card_click"), dict(session_id="s", channel="b", event_name="attending_tap"), dict(session_id="s", event_name="detail_view")]
+    got = {(r["channel"], r["is_total"]): (r["sessions"], r["converted"], r["card_click"]) for r in dicts(eg.funnel_with_total(table(spark, schemas.ANALYTICS, spread)))}
+    assert got == {(None, True): (1, 1, 1), ("a", False): (1, 0, 1), ("b", False): (1, 1, 0), (None, False): (1, 0, 0)}
+
+
+def test_total_scans_once(rows):
+    plan = eg.funnel_with_total(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") + plan.count("LogicalRDD") + plan.count("Scan") <= 1
+
+
+def test_sketches_merge_to_weeks(spark):
+    ids = spark.range(60_000)
+    events = ids.select(
+        (F.col("id") % 9_000).cast("string").alias("visitor_id"), F.lit("attending_tap").alias("event_name"),
+        (F.lit(WEEK1) + (F.col("id") % 14) * 86_400_000).alias("timestamp"),
+    )
+    days = eg.daily_sketches(events)
+    assert days.count() == 14
+    told = {r["week"]: r["active"] for r in dicts(eg.weekly_active_estimate(days))}
+    exact = {r["week"]: r["active"] for r in dicts(eg.weekly_active(events))}
+    assert told.keys() == exact.keys() and all(abs(told[w] - n) <= 5 * 1.04 / 2**7 * n for w, n in exact.items())
+    # sketches of parts, merged, say what one of all says
+    parts = eg.daily_sketches(events.where("timestamp % 2 = 0")).unionByName(eg.daily_sketches(events.where("timestamp % 2 <> 0")))
+    assert {r["week"]: r["active"] for r in dicts(eg.weekly_active_estimate(parts))} == told
+    assert eg.weekly_active_estimate(eg.daily_sketches(events.limit(0))).count() == 0
+
+
+def test_retention(spark, rows):
+    first = [(r["week"], r["converters"], r["returned"], r["return_rate"]) for r in dicts(eg.retention(rows)) if r["after"] == 1]
+    assert sorted(first) == sorted((r["week"], r["converters"], r["returned"], r["return_rate"]) for r in dicts(eg.return_rate(rows)))
+    # weeks over many blocks, before 1970 too, against sets
+    r = random.Random(2)
+    seen = sorted({(f"v{r.randrange(8)}", r.randrange(-40, 90), r.random() < 0.4) for _ in range(500)})
+    monday = dt.datetime(1970, 1, 5, 12, tzinfo=dt.timezone.utc)
+    data = [dict(visitor_id=v, event_name="attending_tap" if c else "detail_view", timestamp=int((monday + dt.timedelta(weeks=w)).timestamp() * 1000)) for v, w, c in seen]
+    active, converted = {(v, w) for v, w, _ in seen}, {(v, w) for v, w, c in seen if c}
+    want = {}
+    for v, w in converted:
+        for k in range(1, 32):
+            have = want.setdefault((w, k), [0, 0])
+            have[0] += 1
+            have[1] += (v, w + k) in active
+    got = {((x["week"] - monday.date()).days // 7, x["after"]): [x["converters"], x["returned"]] for x in dicts(eg.retention(table(spark, schemas.ANALYTICS, data), 31))}
+    assert got == want
+    with pytest.raises(ValueError):
+        eg.retention(rows, 32)
+    assert eg.retention(rows.limit(0)).count() == 0

@@ -333,3 +333,20 @@ def test_answers(spark):
         full, full, full, full, None, None, (False, [], "high", "paid", "confirmed", "r"), (True, ["kids"], "high", "unknown", "confirmed", "r"),
         (True, ["kids"], "high", "free", "inferred", "r"), None, None, None, None, (True, [], "low", "unknown", "confirmed", ""),
     ]
+
+
+def test_element_body(spark):
+    cases = {
+        'class="x">a<div>b</div>c</div>d</div>e': 'class="x">a<div>b</div>c',
+        '><DIV class="y"><div>b</div ></Div>c</DIV>d': '><DIV class="y"><div>b</div ></Div>c',
+        ">a<divider></divider>b</div>c": ">a<divider></divider>b",
+        ">a<div>b</div>c": ">a<div>b</div>c",
+        ">a": ">a",
+        "></div>": ">",
+        "": "",
+        None: None,
+        ">" + "<div>x" * 500 + "</div>" * 500 + "end</div>out": ">" + "<div>x" * 500 + "</div>" * 500 + "end",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "c string")
+    got = {r["c"]: r["b"] for r in rows.select("c", text.element_body(F.col("c"), "div").alias("b")).collect()}
+    assert got == cases

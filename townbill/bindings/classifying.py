@@ -75,11 +75,9 @@ def capped_pending(spark, sf):
     return rows.select("id", "carried", "budget_skipped")
 
 
-@query(f"WITH {CAPPED} SELECT id, title, description FROM capped WHERE NOT carried AND NOT budget_skipped")
+@query(f"WITH {PRIOR} SELECT id, title, description FROM carried WHERE NOT carried")
 def due_for_classifier(spark, sf):
-    return classify.to_classify(
-        classify.with_spend_cap(classify.carry_forward(batch(spark, sf), prior(spark, sf)), CAP)
-    )
+    return classify.to_classify(classify.with_spend_cap(classify.carry_forward(batch(spark, sf), prior(spark, sf)), None))
 
 
 def answers(spark, sf):

@@ -57,6 +57,15 @@ def funnel_by_channel(spark, sf):
     return eg.funnel_by_channel(analytics_rows(spark, sf), LEVELS, SUB_METRICS)
 
 
+@query(
+    f"WITH {ANALYTICS}, {CHANNEL_SESSIONS}, whole AS ({SESSIONS.split("AS (", 1)[1].strip()[:-1]}), "
+    f"counts AS (SELECT channel, FALSE AS is_total, {COUNTS} FROM sessions GROUP BY channel "
+    f"UNION ALL SELECT NULL, TRUE, {COUNTS} FROM whole) SELECT *, {RATES} FROM counts"
+)
+def funnel_with_total(spark, sf):
+    return eg.funnel_with_total(analytics_rows(spark, sf), LEVELS, SUB_METRICS)
+
+
 @query(
     f"WITH {ANALYTICS}, {CHANNEL_SESSIONS}, counts AS (SELECT {COUNTS} FROM sessions WHERE channel = 'c1') "
     f"SELECT *, {RATES} FROM counts"
@@ -81,6 +90,16 @@ def weekly_active(spark, sf):
     return eg.weekly_active(analytics_rows(spark, sf), CONVERSIONS)
 
 
+@query(f"WITH {ANALYTICS}, {WEEKLY} SELECT week, active, TRUE AS near FROM weekly")
+def weekly_active_sketches(spark, sf):
+    """The exact count beside whether the estimate from daily sketches is within five standard errors."""
+    rows = analytics_rows(spark, sf)
+    told = eg.weekly_active_estimate(eg.daily_sketches(rows, CONVERSIONS)).withColumnRenamed("active", "estimate")
+    both = eg.weekly_active(rows, CONVERSIONS).join(told, "week", "left")
+    near = F.abs(F.col("estimate") - F.col("active")) <= F.ceil(F.col("active") * (5 * 1.04 / 2**7))
+    return both.select("week", "active", F.coalesce(near, F.lit(False)).alias("near"))
+
+
 @query(
     f"WITH {ANALYTICS}, {WEEKLY} SELECT week, active, LAG(active) OVER (ORDER BY week) AS previous, "
     "active - LAG(active) OVER (ORDER BY week) AS delta FROM weekly ORDER BY week DESC LIMIT 8"
@@ -106,6 +125,19 @@ def return_visit_rate(spark, sf):
     return eg.return_rate(analytics_rows(spark, sf), CONVERSIONS)
 
 
+@query(
+    f"""WITH {ANALYTICS},
+conv AS (SELECT DISTINCT week, visitor_id FROM analytics WHERE event_name IN ('signup', 'purchase')),
+act AS (SELECT DISTINCT week, visitor_id FROM analytics),
+joined AS (SELECT c.week, k.after, a.visitor_id AS back FROM conv c CROSS JOIN (SELECT unnest(range(1, 9)) AS after) k
+           LEFT JOIN act a ON a.visitor_id = c.visitor_id AND a.week = c.week + 7 * CAST(k.after AS INT))
+SELECT week, CAST(after AS INT) AS after, COUNT(*) AS converters, COUNT(back) AS returned,
+       CAST(COUNT(back) AS DOUBLE) / COUNT(*) AS return_rate FROM joined GROUP BY week, after"""
+)
+def retention_triangle(spark, sf):
+    return eg.retention(analytics_rows(spark, sf), 8, CONVERSIONS)
+
+
 @query(RETURNS + "SELECT CAST(COUNT(back) AS DOUBLE) / COUNT(*) AS return_rate FROM joined WHERE week = DATE '2024-01-08'")
 def return_visit_rate_week(spark, sf):
     return eg.return_rate_for(analytics_rows(spark, sf), "2024-01-08", CONVERSIONS)

@@ -220,8 +220,10 @@ def calendar_pages(spark, sf):
         .otherwise(""),
         F.when(k % 3 == 0, '<div class="specificDetailHeader">Location:</div><div class="specificDetailItem">Toyota Stadium <a href="#">map</a></div>')
         .when(k % 3 == 1, '<span itemprop="location"><b itemprop="name">Hall &amp; Park</b></span>').otherwise(""),
-        '<div itemprop="description" class="fr-view"><p>short</p><p class="x">Come and <b>dance</b> with us ', text_of(k),
-        "</p><p>http://example.org/long/link</p><p>All supplies &ndash; included.</p></div>",
+        '<div itemprop="description" class="fr-view">', F.when(k % 7 == 0, '<div class="a"><DIV>').otherwise(""),
+        '<p>short</p><p class="x">Come and <b>dance</b> with us ', text_of(k), "</p>",
+        F.when(k % 7 == 0, "</div><divider></div ><div>No paragraph at all</div>").otherwise(""),
+        "<p>http://example.org/long/link</p><p>All supplies &ndash; included.</p></div><p>Not in the element</p>",
         F.when(k % 6 == 0, '<div itemprop="price">Free</div>').when(k % 6 == 1, '<div itemprop="price"><b>$35</b></div>').otherwise(""),
         F.when(k % 2 == 0, '<meta name="a" property="og:image" content="https://img.example.org/ImageRepository/Document?id=1">').otherwise(
             '<meta name="a" property="og:image" content="https://img.example.org/icon.png">'

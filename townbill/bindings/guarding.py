@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from townbill.bindings.registry import query, table
 from townbill.bindings.views import LISTINGS, analytics_rows, order_listings, sql_stamp, stamp
 from townbill.functions.wallclock import implausible_start, local_second_of_day
 from townbill.operators import guard, publish, series
+from townbill.session import checkpoint_dir
+from townbill.sources import sinks, tables
 from townbill.sources.landings import fallback_verdict
 
 
@@ -211,6 +215,22 @@ def next_snapshot(spark, sf):
     return publish.next_snapshot(snapshot_rows(spark, sf), batch, scraped, ["urgent", "medium"], purge=True, new={"created_at": F.lit(FIRST_SEEN_DAY).cast("date")})
 
 
+@query(
+    f"WITH {PUBLISH} SELECT CAST(id AS VARCHAR) AS id, title, CAST(created_at AS DATE) AS created_at FROM merged "
+    "WHERE NOT regexp_matches(lower(title), 'urgent|medium')"
+)
+def bucketed_publish(spark, sf):
+    """The next snapshot by way of files: a first load, a publish of it, and one of the batch that changes some buckets."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    first, later = (rows.withColumn("id", F.col("id").cast("string")) for rows in (snapshot_rows(spark, sf), batch_rows(spark, sf)))
+    sinks.write_catalogue(first.withColumn("source", F.lit("orders")), path)
+    sinks.publish_source(spark, path, "orders", first.select("id", "title").where("id = '1'"))
+    new = {"created_at": F.lit(FIRST_SEEN_DAY).cast("timestamp")}
+    sinks.publish_source(spark, path, "orders", later.select("id", "title"), cleanup_words=["urgent", "medium"], new=new)
+    rows = tables.scan_catalogue(spark, path, sources=["orders"])
+    return rows.select("id", "title", F.col("created_at").cast("date").alias("created_at"))
+
+
 @query("SELECT o_orderkey AS id, o_orderpriority AS title, 'orders' AS source FROM orders "
        "UNION ALL SELECT p_partkey, p_name, 'part' FROM part")
 def union_sources(spark, sf):

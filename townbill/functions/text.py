@@ -70,6 +70,25 @@ def plain_text(c: Column) -> Column:
     return collapse(F.regexp_replace(c, "<[^>]*>", " "))
 
 
+def element_body(rest: Column, tag: str) -> Column:
+    """What is inside an element whose opening tag `rest` begins in; all of `rest` if it is never closed.
+
+    The text is cut before every opening and closing tag of that name; the running depth over the pieces
+    says which closing tag is the element's own.
+    """
+    pieces = F.split(rest, rf"(?i)(?=<{tag}[\s>/])|(?=</{tag}\s*>)")
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("inside"))
+
+    def step(at: Column, piece: Column) -> Column:
+        opens, closes = piece.rlike(rf"(?i)^<{tag}[\s>/]"), piece.rlike(rf"(?i)^</{tag}\s*>")
+        depth = at["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        ended = (at["inside"] == 0) & (depth == 0)
+        return F.struct(depth.alias("depth"), (at["seen"] + 1).alias("seen"), F.when(ended, at["seen"]).otherwise(at["inside"]).alias("inside"))
+
+    inside = F.aggregate(pieces, start, step)["inside"]
+    return F.array_join(F.slice(pieces, F.lit(1), F.when(inside > 0, inside).otherwise(F.size(pieces))), "")
+
+
 def normalise_title(c: Column) -> Column:
     return collapse(F.lower(c))
 

@@ -89,6 +89,25 @@ def funnel_by_channel(
     return _with_rates(sessions.groupBy("channel").agg(*_funnel_aggregates(sub_metrics)), sub_metrics)
 
 
+def funnel_with_total(
+    rows: DataFrame, levels: dict = fixed.STEP_LEVEL, sub_metrics: dict = fixed.SUB_METRICS
+) -> DataFrame:
+    """The funnel of every channel and of all rows, told apart by `is_total`, from one scan.
+
+    A session that spans channels counts in each of them by its own rows there, and once in the total by
+    all its rows. So the sessions per channel, which are few beside the rows, are grouped again by
+    session with and without the channel, which merges their flags.
+    """
+    parts = sessionise(rows, levels, sub_metrics, keys=("channel", "session_id"))
+    flags = ["shared", *[f"had_{m}" for m in sub_metrics]]
+    merged = parts.groupingSets([["channel", "session_id"], ["session_id"]], "channel", "session_id").agg(
+        (F.grouping("channel") == 1).alias("is_total"),
+        F.max("max_step").alias("max_step"),
+        *[F.bool_or(f).alias(f) for f in flags],
+    )
+    return _with_rates(merged.groupBy("channel", "is_total").agg(*_funnel_aggregates(sub_metrics)), sub_metrics)
+
+
 def visitor_weeks(rows: DataFrame, conversions=fixed.CONVERSION_EVENTS) -> DataFrame:
     """One row per visitor and active week, with whether the visitor converted in it."""
     return rows.groupBy("visitor_id", row_week().alias("week")).agg(
@@ -102,6 +121,23 @@ def weekly_active(rows: DataFrame, conversions=fixed.CONVERSION_EVENTS) -> DataF
     return pairs.groupBy("week").agg(F.count("*").alias("active"))
 
 
+def daily_sketches(rows: DataFrame, conversions=fixed.CONVERSION_EVENTS, log_size: int = 14, keys=()) -> DataFrame:
+    """(day, sketch), further split by `keys`: a sketch of the converting visitors of each day.
+
+    A sketch is at most 2 ** log_size bytes or so however many visitors it has seen, so a table of them
+    can be kept, appended to day by day and merged to any span of days without another look at the rows.
+    """
+    day = F.to_date(F.timestamp_millis(F.col("timestamp")))
+    seen = rows.filter(_name().isin(*conversions)).groupBy(day.alias("day"), *keys)
+    return seen.agg(F.hll_sketch_agg(F.col("visitor_id").cast("string"), log_size).alias("sketch"))
+
+
+def weekly_active_estimate(sketches: DataFrame, keys=()) -> DataFrame:
+    """(week, active) from daily sketches; the standard error is about 1.04 / sqrt(2 ** log_size)."""
+    weeks = sketches.groupBy(week_of(F.col("day").cast("timestamp")).alias("week"), *keys)
+    return weeks.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("active"))
+
+
 def weekly_delta(weekly: DataFrame, weeks: int = 8) -> DataFrame:
     """The last weeks of a weekly series, each with the change from the week before it.
 
@@ -130,6 +166,48 @@ def return_rate(rows: DataFrame, conversions=fixed.CONVERSION_EVENTS) -> DataFra
     )
 
 
+WEEKS_IN_BLOCK = 32
+
+
+def week_bits(rows: DataFrame, conversions=fixed.CONVERSION_EVENTS) -> DataFrame:
+    """(visitor_id, block, active, converted): the weeks of a visitor as bits, 32 weeks to a block.
+
+    The upper half of `active` holds the next block's weeks, so that what follows a week is in its row.
+    """
+    number = (F.datediff("week", F.lit("1970-01-05").cast("date")) / 7).cast("int")
+    weeks = visitor_weeks(rows, conversions).withColumn("number", number)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
+    at, block = F.pmod("number", F.lit(WEEKS_IN_BLOCK)).cast("int"), F.floor(F.col("number") / WEEKS_IN_BLOCK)
+    own = F.struct(block.alias("block"), bit(at).alias("active"), F.when(F.col("converted"), bit(at)).otherwise(0).cast("bigint").alias("converted"))
+    ahead = F.struct((block - 1).alias("block"), bit(at + WEEKS_IN_BLOCK).alias("active"), F.lit(0).cast("bigint").alias("converted"))
+    sides = weeks.select("visitor_id", F.inline(F.array(own, ahead)))
+    return sides.groupBy("visitor_id", "block").agg(F.bit_or("active").alias("active"), F.bit_or("converted").alias("converted"))
+
+
+def retention(rows: DataFrame, weeks: int = 8, conversions=fixed.CONVERSION_EVENTS) -> DataFrame:
+    """(week, after, converters, returned, return_rate): of a week's converters, how many were active
+    `after` weeks later, for each number of weeks from 1 to `weeks`, at most 31.
+
+    Every rate comes from one aggregate over the visitors' bits, however many weeks there are.
+    """
+    if not 0 < weeks < WEEKS_IN_BLOCK:
+        raise ValueError(f"weeks must be from 1 to {WEEKS_IN_BLOCK - 1}")
+    shifted = lambda c, n: F.call_function("shiftrightunsigned", c, n)
+    on = lambda c: c.bitwiseAND(F.lit(1).cast("bigint")) == 1
+    places = F.sequence(F.lit(0), F.lit(WEEKS_IN_BLOCK - 1))
+    converted = F.filter(places, lambda at: on(shifted(F.col("converted"), at)))
+    each = week_bits(rows, conversions).filter("converted <> 0").select("block", "active", F.explode(converted).alias("at"))
+    day = ((F.col("block") * WEEKS_IN_BLOCK + F.col("at")) * 7).cast("int")
+    ahead = each.select(F.date_add(F.lit("1970-01-05").cast("date"), day).alias("week"), shifted(F.col("active"), F.col("at")).alias("ahead"))
+    counts = ahead.groupBy("week").agg(
+        F.count("*").alias("converters"),
+        F.array(*[F.count_if(on(F.shiftright("ahead", k))) for k in range(1, weeks + 1)]).alias("returned"),
+    )
+    rows_ = counts.select("week", "converters", F.posexplode("returned").alias("at", "returned"))
+    rate = safe_ratio(F.col("returned"), F.col("converters")).alias("return_rate")
+    return rows_.select("week", (F.col("at") + 1).alias("after"), "converters", "returned", rate)
+
+
 def return_rate_for(rows: DataFrame, week: str, conversions=fixed.CONVERSION_EVENTS) -> DataFrame:
     """Return rate of one week as a single row, 0 when nobody converted in it."""
     start = F.lit(week).cast("date")

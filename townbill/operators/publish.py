@@ -50,6 +50,11 @@ def keyword_cleanup(stored: DataFrame, words, title: str = "title") -> DataFrame
     return stored.filter(~F.coalesce(contains_any(F.col(title), words), F.lit(False)))
 
 
+def cleanup_hits(stored: DataFrame, words, title: str = "title") -> DataFrame:
+    """The complement of keyword_cleanup: the rows it drops."""
+    return stored.filter(contains_any(F.col(title), words))
+
+
 def next_snapshot(
     stored: DataFrame,
     write: DataFrame,

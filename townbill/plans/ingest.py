@@ -149,8 +149,7 @@ def _publish(
         listed = tables.as_listings(write)
         written = listed.select(*[c for c in listed.columns if c in given])
         purge = rule.purge and fetched > 0 and not partial
-        snapshot = publish.next_snapshot(stored, written, scraped, rule.cleanup_words, purge, {"created_at": instant(now)})
-        sinks.replace_source(snapshot, catalogue_path, source)
+        sinks.publish_source(spark, catalogue_path, source, written, scraped, rule.cleanup_words, purge, {"created_at": instant(now)})
     return RunResult(source, fetched, upserted, calls, errors, aborted, capped)
 
 

@@ -304,9 +304,9 @@ def horizon_end(now, months: int = fixed.HORIZON_MONTHS) -> dt.datetime:
 
 
 def _description(body: Column) -> Column:
-    """Paragraphs from the mark to the end of its element."""
+    """Paragraphs from the mark to the end of its element, within the elements that it holds too."""
     rest = F.substring(body, F.instr(body, DESCRIPTION_MARK), F.length(body))
-    block = F.substring_index(rest, "</div>", 1)
+    block = text.element_body(rest, "div")
     paragraphs = F.transform(
         F.regexp_extract_all(block, F.lit(PARAGRAPH), F.lit(1)), lambda p: text.decode_entities(text.strip_tags(p))
     )

@@ -9,13 +9,29 @@ from pyspark.sql.types import StructType
 
 from townbill import fixed, schemas
 from townbill.functions.wallclock import as_utc
+from townbill.sources import snapshots
 
 
 def scan_catalogue(spark: SparkSession, path: str, columns=None, sources=None) -> DataFrame:
-    """Catalogue rows with only the columns asked for; a source selection prunes partitions."""
+    """Catalogue rows with only the columns asked for; a source selection prunes partitions.
+
+    A source that was published since its first load is read as its newest manifest says.
+    """
+    published = {}
+    for name in snapshots.names_in(spark, path):
+        source = name.removeprefix("source=")
+        if name.startswith("source=") and (not sources or source in sources):
+            manifest = snapshots.live(spark, snapshots.root_of(path, source))
+            if manifest:
+                published[source] = manifest
     rows = spark.read.schema(schemas.LISTINGS).parquet(path)
     if sources:
         rows = rows.filter(F.col("source").isin(*sources))
+    if published:
+        rows = rows.filter(~F.col("source").isin(*published))
+    for source, manifest in published.items():
+        own = snapshots.read(spark, snapshots.root_of(path, source), manifest)
+        rows = rows.unionByName(own.withColumn("source", F.lit(source)))
     return rows.select(*columns) if columns else rows
 
 
