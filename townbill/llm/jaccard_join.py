@@ -189,7 +189,8 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     """Those of the pairs (a, b) of classes that are links, judged on their whole sets."""
     wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct().join(reps, "cls").select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "cls")
     wanted = common.stored(wanted, "wanted")
-    texts = _perhaps(docs, wanted).join(wanted, (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+    # the same join at every size, so that shuffles grow with the input
+    texts = _perhaps(docs, wanted).join(wanted.hint("merge"), (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
     # the texts of the pairs only, once each
     texts = common.stored(texts.groupBy("cls").agg(F.any_value("text").alias("text")), "texts")
     with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
