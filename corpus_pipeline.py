@@ -19,6 +19,8 @@ TOKENIZER = "word_bpe_49k.json"
 WEIGHTS = [5, 2, 1]
 #: a passage of more than 50 words of three letters on average, and a space each, has over 200 bytes
 REPEAT_BYTES = 200
+#: shorter strings need more samples, so a task takes smaller blocks of texts
+BLOCK_BYTES = 2 << 20
 ORACLE_SQL = None  # language vectors, components and packing have no SQL; tests/llm hold brute-force versions
 
 
@@ -38,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes covered by a string of REPEAT_BYTES that also starts elsewhere; documents stay."""
     common.ship(spark)
-    left = suffix_dedup.suffix_dedup(docs, length=REPEAT_BYTES, carry=("lang", "source"), as_text=True)
+    left = suffix_dedup.suffix_dedup(docs, length=REPEAT_BYTES, block_bytes=BLOCK_BYTES, carry=("lang", "source"), as_text=True)
     return left.select("doc_id", F.col("kept").alias("text"), "row.lang", "row.source", F.length("kept").cast("long").alias("n_chars"))
 
 
