@@ -28,7 +28,7 @@ def want(tokenizer):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["the", "Don't", ",", ".", " ", "\n", "\x0b", " ", "é", "é", "́", "<|endoftext|>", "<|", "|>", "9", "ß", "İ", "Σ", "word", "_", "-", "日本"]), max_size=30))
+@given(st.lists(st.sampled_from(["the", "Don't", ",", ".", "%%", "*", "(", "É", "ÿ", "×", " ", "\n", "\x0b", " ", "é", "é", "́", "<|endoftext|>", "<|", "|>", "9", "ß", "İ", "Σ", "word", "_", "-", "日本"]), max_size=30))
 def test_pieces_give_the_library_ids(parts):
     import public_tokenizers
 
@@ -38,6 +38,40 @@ def test_pieces_give_the_library_ids(parts):
     assert np.frombuffer(enc.ids(text), "<u4").tolist() == enc.library.encode(text, add_special_tokens=False).ids
 
 
+def word_level(folder, split, lowers=False, added=()):
+    from tokenizers import Tokenizer, models, normalizers
+
+    words = ["?", "The", "the", "a.", "a", ".", ",", "end", "é", "b,"]
+    made = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="?"))
+    made.pre_tokenizer = split
+    if lowers:
+        made.normalizer = normalizers.Lowercase()
+    made.add_tokens(list(added))
+    made.save(str(folder / "words.json"))
+    return tokens.Encoder(str(folder / "words.json"))
+
+
+def test_nothing_is_assumed_of_other_tokenizers(tmp_path):
+    from tokenizers import pre_tokenizers
+
+    texts = ["The the", "a. a .", "The END <E> end", "thethe,", "a.b, a.", "É é éa", "xthe end", "[the] THE", "", " ", "a.\n\x0bThe\u2003the"]
+    for split in (pre_tokenizers.Whitespace(), pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Punctuation()])):
+        for lowers in (False, True):
+            for added in ((), ("<E>",), ("the",), ("two words",), ("É",)):
+                enc = word_level(tmp_path, split, lowers, added)
+                for text in texts:
+                    got = np.frombuffer(enc.ids(text), "<u4").tolist()
+                    assert got == enc.library.encode(text, add_special_tokens=False).ids, (split, lowers, added, text)
+
+
+def test_pieces_outlive_a_full_cache(tokenizer):
+    enc = tokens.Encoder(tokenizer)
+    enc.LIMIT = 3
+    text = " ".join(f"wörd{i % 7},; {i % 5}x the" for i in range(50))
+    assert np.frombuffer(enc.ids(text), "<u4").tolist() == enc.library.encode(text, add_special_tokens=False).ids
+    assert len(enc) <= 3 and len(enc.old) <= 3
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["the ", "Don't", ",", "...", "  ", "\n\n", "é", "é", "<|endoftext|>", "9", "abcdefghij" * 3, "日本", "a"]), max_size=60), st.integers(20, 60), st.integers(1, 12))

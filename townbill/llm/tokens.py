@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 from townbill.llm import common
 
-SPLIT_OFF = frozenset(b",.;:!?")
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha())
+SYMBOLS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class Encoder(dict):
     """Whole text -> its ids, as the tokenizers library gives them.
 
-    A tokenizer that drops white space, and whose added tokens hold none, treats what stands between
-    ASCII spaces independently. Such texts are cut there and each distinct piece is encoded by the
-    library once; the pieces' ids (little-endian unsigned 32-bit) are kept in a bounded cache. For other
-    tokenizers every text goes to the library whole.
+    A tokenizer that drops white space, and whose added tokens are ASCII without any, treats what stands
+    between ASCII spaces independently. Such texts are cut there and each distinct piece is encoded once:
+    normalised, split and handed to the model by the library's own parts, or whole if it holds an added
+    token. The pieces' ids (little-endian unsigned 32-bit) are kept in two generations of bounded size, so
+    that frequent ones survive. For other tokenizers every text goes to the library whole.
+
+    What saves calls is asked of the loaded tokenizer and not assumed: `lowers` (it takes A-Z as a-z),
+    `plain` (letters that give one part together, each with its own share of it) and `symbols` (those
+    that are split from a letter before them, alone and in runs).
     """
 
-    LIMIT, LONGEST = 800_000, 64
+    LIMIT, LONGEST = 500_000, 64
 
     def __init__(self, path: str):
         super().__init__()
@@ -29,30 +35,73 @@ class Encoder(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        shown = self.library.pre_tokenizer.pre_tokenize_str("a \t\n\x0b\x0c\r b") if self.library.pre_tokenizer else [(" ", 0)]
+        self.old: dict[bytes, bytes] = {}
+        self.model = lru_cache(maxsize=50_000)(self._model)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.by_piece = [p for p, _ in shown] == ["a</w>", "b</w>"] or "".join(p for p, _ in shown) == "ab"
-        self.by_piece = self.by_piece and not any(c.isspace() for t in added for c in t)
         self.longest_added = max(map(len, added), default=1)
-        # letters that byte-level mapping and lower-casing leave alone go straight to the model
-        self.plain = self.by_piece and self._whole(b"zq") == self._model(b"zq")
-
-    def _whole(self, piece: bytes) -> bytes:
-        return pack(self.library.encode(piece.decode(), add_special_tokens=False).ids)
-
-    def _model(self, piece: bytes) -> bytes:
-        return pack([t.id for t in self.library.model.tokenize(piece.decode())])
+        self.added = [t.lower().encode() for t in added if t]
+        shown = "".join(self._parts("a \t\n\x0b\x0c\r b")).replace("</w>", "")
+        sample = "abc zq, it's 12é -- Ünï"
+        self.by_piece = (
+            shown == "ab"
+            and all(t.isascii() and not any(c.isspace() for c in t) for t in added)
+            and self._by_parts(sample)
+        )
+        self.lowers = self._normal("abcdefghijklmnopqrstuvwxyz") == self._normal("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        self.plain, self.symbols = self._probe() if self.by_piece else ({}, "")
+        self.letters = frozenset(map(chr, self.plain))
+
+    def _probe(self) -> tuple[dict[int, str], str]:
+        """Letters with their share of a part, if all pairs and triples around them agree; symbols split off after any of them."""
+        share = {c: p[0] for c in LETTERS if len(p := self._parts(c)) == 1 and not any(c in t.decode() for t in self.added if t.isalpha())}
+        apart = [c for c in share if any(self._parts(x + c) != [share[x] + share[c]] or self._parts(x + c + x) != [share[x] + share[c] + share[x]] for x in share)]
+        share = {ord(c): p for c, p in share.items() if c not in apart}
+        letters = list(map(chr, share))
+        symbols = [m for m in SYMBOLS if all(self._parts(c + m) == [share[ord(c)], *self._parts(m)] for c in letters)]
+        runs = all(self._parts(c + m + n) == [share[ord(c)], *self._parts(m + n)] for c in letters[:1] for m in symbols for n in symbols)
+        return share, "".join(symbols) if runs else ""
+
+    def _normal(self, text: str) -> str:
+        return self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+
+    def _parts(self, text: str) -> list[str]:
+        """What the library hands to the model for a text without added tokens."""
+        text = self._normal(text)
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)] if self.library.pre_tokenizer else [text]
+
+    def _by_parts(self, sample: str) -> bool:
+        """Whether the library's parts, one by one, give what it gives as a whole; not if it cannot encode the sample."""
+        try:
+            return self._whole(sample.encode()) == b"".join(map(self._model, self._parts(sample)))
+        except Exception:  # the library raises plain Exception where a model has no token for unknown words
+            return False
+
+    def _whole(self, text: bytes) -> bytes:
+        return pack(self.library.encode(text.decode(), add_special_tokens=False).ids)
+
+    def _model(self, part: str) -> bytes:
+        return pack([t.id for t in self.library.model.tokenize(part)])
+
+    def _encode(self, piece: bytes) -> bytes:
+        low = piece.lower()
+        if any(t in low for t in self.added):
+            return self._whole(piece)
+        text = piece.decode()
+        head = text.rstrip(self.symbols) if self.symbols else text
+        if not self.letters.issuperset(head) or not head:
+            return b"".join(map(self.model, self._parts(text)))
+        if len(head) < len(text):
+            return self[head.encode()] + self[text[len(head) :].encode()]
+        return self._model(head.translate(self.plain))
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(piece) > self.LONGEST:
             return self._whole(piece)
-        if piece[-1] in SPLIT_OFF and len(piece) > 1 and piece[-2] in LETTERS:
-            ids = self[piece[:-1]] + self[piece[-1:]]  # a letter and a mark are never in one pre-token
-        elif self.plain and LETTERS.issuperset(piece):
-            ids = self._model(piece)
-        else:
-            ids = self._whole(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self._encode(piece)
         if len(self) >= self.LIMIT:
+            self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -61,18 +110,18 @@ class Encoder(dict):
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.by_piece:
-            return self._whole(text.encode())
         raw = text.encode()
-        if b"<|" not in raw:  # only ASCII letters change, and the library would lower them too
-            raw = raw.lower()
-        return b"".join(map(self.__getitem__, raw.split()))
+        if not self.by_piece:
+            return self._whole(raw)
+        if self.lowers:
+            low = raw.lower()  # ASCII letters only; added tokens may tell cases apart
+            if not any(t in low for t in self.added):
+                raw = low
+        return b"".join([self[piece] for piece in raw.split()])
 
 
 def pack(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return array("I", ids).tobytes()
 
 
 @lru_cache(maxsize=2)
