@@ -26,7 +26,7 @@ class Encoder(dict):
     that are split from a letter before them, alone and in runs).
     """
 
-    LIMIT, LONGEST = 500_000, 64
+    LIMIT, LONGEST = 400_000, 64
 
     def __init__(self, path: str):
         super().__init__()
