@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from townbill.bindings.registry import query, table
 from townbill.bindings.views import DOCUMENTS, LISTINGS, document_listings, order_listings, pick, sql_stamp, stamp
 from townbill.functions import ages, labels, prices, text, wallclock
+from townbill.operators import venues
 from townbill.sources import landings
 
 SPACES = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -162,6 +163,33 @@ def venue_points(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), point.alias("p")).select("id", "p.lat", "p.lng")
 
 
+@query(
+    f"""WITH named AS (SELECT l_orderkey AS id, l_linenumber AS line, 'Hall ' || l_suppkey || ' Annex ' || l_partkey % 7 AS v FROM lineitem),
+    listed AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'annex ' || s_suppkey % 5 ELSE 'hall ' || s_suppkey END AS f,
+      (s_suppkey * 37) % 101 AS p, s_suppkey / 1000.0 AS lat, s_nationkey / -10.0 AS lng FROM supplier),
+    best AS (SELECT v, min_by(lat, (p, f, lat, lng)) AS lat, min_by(lng, (p, f, lat, lng)) AS lng
+      FROM (SELECT DISTINCT v FROM named) JOIN listed ON contains(lower(v), f) GROUP BY v)
+    SELECT id, line, v AS venue, coalesce(best.lat, 33.1506)::DOUBLE AS lat, coalesce(best.lng, -96.8236)::DOUBLE AS lng
+    FROM named LEFT JOIN best USING (v)"""
+)
+def venue_table_points(spark, sf):
+    """Positions of line items' halls by a table of fragments that grows with the suppliers."""
+    number = lambda name: F.col(name).cast("string")
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("id"),
+        F.col("l_linenumber").alias("line"),
+        F.concat(F.lit("Hall "), number("l_suppkey"), F.lit(" Annex "), (F.col("l_partkey") % 7).cast("string")).alias("venue"),
+    )
+    k = F.col("s_suppkey")
+    fragments = table(spark, sf, "supplier").select(
+        F.when(k % 3 == 0, F.concat(F.lit("annex "), (k % 5).cast("string"))).otherwise(F.concat(F.lit("hall "), number("s_suppkey"))).alias("fragment"),
+        ((k * 37) % 101).alias("priority"),
+        (k / 1000.0).alias("lat"),
+        (F.col("s_nationkey") / -10.0).alias("lng"),
+    )
+    return venues.locate(rows, fragments, "venue").select("id", "line", "venue", "point.lat", "point.lng")
+
+
 # ---- ages -------------------------------------------------------------------------------
 
 AUDIENCES = (
