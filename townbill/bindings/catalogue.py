@@ -8,9 +8,9 @@ from townbill import fixed
 from townbill.bindings.registry import query, table
 from townbill.bindings.views import CUTOFF, LISTINGS, NOW, order_listings, sql_stamp, stamp
 from townbill.functions import ages, labels, prices
-from townbill.functions.wallclock import implausible_start
+from townbill.functions.wallclock import implausible_start, today_cutoff
 from townbill.operators import catalog, pipeline_metrics, quality
-from townbill.sources import feeds
+from townbill.sources import feeds, intervals
 
 SHOWN = "COALESCE(kid_relevant, true) AND (age_min IS NULL OR age_min < 18)"
 FIELDS = f"id, source, title, {sql_stamp('start_datetime')} AS start_text"
@@ -84,6 +84,14 @@ def ongoing_listings(spark, sf):
     return fields(order_listings(spark, sf).filter(catalog.ongoing(NOW)))
 
 
+@query(f"WITH {LISTINGS} SELECT {FIELDS} FROM order_listings WHERE start_datetime < {CUTOFF} AND end_datetime >= {CUTOFF}")
+def ongoing_by_bins(spark, sf):
+    """The same rows by the bins of the interval layout that can hold them."""
+    cutoff = today_cutoff(NOW)
+    filed = intervals.with_bins(order_listings(spark, sf)).filter(intervals.may_overlap(cutoff, cutoff))
+    return fields(filed.filter(catalog.ongoing(NOW)))
+
+
 @query(f"WITH {LISTINGS} SELECT {FIELDS} FROM order_listings WHERE start_datetime >= {CUTOFF} AND {SHOWN}")
 def upcoming_shown(spark, sf):
     rows = order_listings(spark, sf)
