@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from townbill import fixed
 from townbill.functions.maths import call_cost
 from townbill.functions.text import contains_any
+from townbill.operators import membership
 
 
 def upsert(stored: DataFrame, batch: DataFrame, key: str = "id", new: dict[str, Column] | None = None) -> DataFrame:
@@ -37,12 +38,12 @@ def _merged(stored: DataFrame, marks: DataFrame, own: list[str], key: str, new:
 
 def purge_stale(stored: DataFrame, scraped: DataFrame, key: str = "id") -> DataFrame:
     """Keep the stored rows whose id was in the scraped batch, written or not."""
-    return stored.join(scraped.select(key), key, "left_semi")
+    return membership.among(stored, scraped, key)
 
 
 def stale_rows(stored: DataFrame, scraped: DataFrame, key: str = "id") -> DataFrame:
     """The complement of purge_stale: what a purge deletes."""
-    return stored.join(scraped.select(key), key, "left_anti")
+    return membership.not_among(stored, scraped, key)
 
 
 def keyword_cleanup(stored: DataFrame, words, title: str = "title") -> DataFrame:
