@@ -1,12 +1,13 @@
 """Whole runs against a catalogue on disk."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import dicts, listings, table, utc
-from townbill import schemas
+from townbill import schemas, session
 from townbill.plans import ingest
 from townbill.sources import landings, sinks, tables
 from townbill.streaming import landing as stream
@@ -294,3 +295,25 @@ def test_texts_past_the_old_windows(spark):
     (got,) = dicts(landings.calendar_listings(pages, NOW))
     assert got["description"].count("Paragraph") == 300 and "Not part" not in got["description"]
     assert got["location_name"] == "Hall" and got["end_datetime"].minute == 15
+
+
+def jobs_of(spark, action):
+    name = str(uuid.uuid4())
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        got = action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+@pytest.mark.parametrize("n", [0, 1000])
+def test_metrics_come_from_the_write(spark, n):
+    rows = spark.range(n).repartition(4).groupBy((F.col("id") % 10).alias("k")).count()
+    metrics = dict(total=F.count(F.lit(1)), top=F.max("count"), some=F.coalesce(F.bool_or(F.col("k") == 3), F.lit(False)))
+    with session.staging(spark):
+        plain, least = jobs_of(spark, lambda: session.materialise(rows))
+        (kept, got), jobs = jobs_of(spark, lambda: session.measured(rows, **metrics))
+        assert jobs == least
+        assert got == kept.agg(*[m.alias(c) for c, m in metrics.items()]).first().asDict()
+        assert kept.columns == plain.columns and sorted(kept.collect()) == sorted(plain.collect())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from townbill import fixed
 from townbill.functions.wallclock import instant
 from townbill.operators import classify, guard, publish, series
-from townbill.session import materialise, staging
+from townbill.session import materialise, measured, staging
 from townbill.sources import landings, sinks, tables
 
 
@@ -113,29 +113,28 @@ def _publish(
 ) -> RunResult:
     stored = tables.scan_catalogue(spark, catalogue_path, sources=[source])
     given = {*batch.columns, *MERGED, *(classify.CARRIED if rule.classified else ())}
-    rows = materialise(tables.as_batch(batch))
-    calls, capped, scraped = 0, False, rows
+    rows, landed = measured(tables.as_batch(batch), fetched=F.count(F.lit(1)))
+    calls, capped, scraped, fetched = 0, False, rows, landed["fetched"]
     if "age_resolved" in rows.columns:
         verdict = landings.audience_fallback(rows).first()
         if verdict["warn"]:
             errors.append(FALLBACK_ERROR.format(**verdict.asDict()))
         rows = rows.drop("age_resolved")
     if rule.classified:
-        rows = materialise(classify_batch(rows, stored, answers_for, cap))
-        tally = rows.agg(
-            F.count_if(~F.col("carried") & ~F.col("budget_skipped")).alias("calls"),
-            F.coalesce(F.bool_or("budget_skipped"), F.lit(False)).alias("capped"),
-        ).first()
+        rows, tally = measured(
+            classify_batch(rows, stored, answers_for, cap),
+            calls=F.count_if(~F.col("carried") & ~F.col("budget_skipped")),
+            capped=F.coalesce(F.bool_or("budget_skipped"), F.lit(False)),
+        )
         calls, capped = tally["calls"], tally["capped"]
         if capped:
             errors.append(CAP_ERROR)
             if pending_path:
                 classify.skipped(rows).write.mode("append").parquet(pending_path)
         rows = rows.filter(~F.col("budget_skipped"))
-    fetched = scraped.count()
-    ready = materialise(prepare(rows))
+    ready, merged = measured(prepare(rows), total=F.count(F.lit(1)))
     upserted, aborted = 0, False
-    if ready.isEmpty():
+    if not merged["total"]:
         write = ready
     else:
         limits = guard.Thresholds(max_shrink_share=1.0) if partial else guard.Thresholds()

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def pin_session(spark: SparkSession) -> SparkSession:
@@ -53,6 +53,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As `materialise`, with aggregates over the rows that are taken while they are written, in no job of their own."""
+    seen = Observation()
+    rows = materialise(df.observe(seen, *[metric.alias(name) for name, metric in metrics.items()]))
+    return rows, seen.get
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder from whatever store it is in."""
     jvm = spark._jvm
