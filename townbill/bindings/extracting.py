@@ -9,6 +9,7 @@ from townbill.bindings.registry import query, table
 from townbill.bindings.views import pick, sql_stamp, stamp
 from townbill.operators import guard, publish
 from townbill.plans.ingest import prepare
+from townbill.session import materialise
 from townbill.sources import landings
 from townbill.sources.tables import as_batch, as_listings
 
@@ -314,15 +315,18 @@ def park_listings(spark, sf):
       CASE k % 5 WHEN 1 THEN 'paid' ELSE 'free' END AS price_class FROM s"""
 )
 def nightly_snapshot(spark, sf):
-    """Payload pages to listings, merged, screened against the stored rows, upserted and purged."""
-    scraped = as_batch(landings.park_listings(payload_pages(spark, sf)))
-    batch = prepare(scraped)
+    """Payload pages to listings, merged, screened against the stored rows, upserted and purged.
+
+    As in a run of a source, the parsed and the merged batch are staged: pages are parsed once, not once a use.
+    """
+    scraped = materialise(as_batch(landings.park_listings(payload_pages(spark, sf))))
+    batch = materialise(prepare(scraped))
     k = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
     # of the stored rows a third is under ids that are no longer published
     stored_id = F.when(k % 3 < 2, F.col("id")).otherwise(F.concat("id", F.lit("-gone")))
     stored = as_listings(
         scraped.withColumn("title", F.lit("stored")).withColumn("price_class", F.lit("unknown")).withColumn("id", stored_id)
     )
-    write = as_listings(guard.write_set(batch, guard.guard_verdict(batch, stored)))
+    write = as_listings(guard.write_set(batch, materialise(guard.guard_verdict(batch, stored))))
     snapshot = publish.next_snapshot(stored, write, scraped, purge=True)
     return snapshot.select("id", stamp("start_datetime").alias("start_text"), "title", "is_recurring", "price_class")
