@@ -83,16 +83,16 @@ class Encoder(dict):
         return pack([t.id for t in self.library.model.tokenize(part)])
 
     def _encode(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if self.letters.issuperset(text):  # no added token is made of these letters alone
+            return self._model(text.translate(self.plain))
         low = piece.lower()
         if any(t in low for t in self.added):
             return self._whole(piece)
-        text = piece.decode()
         head = text.rstrip(self.symbols) if self.symbols else text
         if not self.letters.issuperset(head) or not head:
             return b"".join(map(self.model, self._parts(text)))
-        if len(head) < len(text):
-            return self[head.encode()] + self[text[len(head) :].encode()]
-        return self._model(head.translate(self.plain))
+        return self[head.encode()] + self[text[len(head) :].encode()]
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(piece) > self.LONGEST:
