@@ -161,6 +161,7 @@ def _in_letters(batches: Iterator[pa.RecordBatch], most: int = BATCH_LETTERS) ->
 
 def _hashes(layout: Layout):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only()
         for words, _ in _in_letters(batches):
             letters = Letters(words)
             c = letters.classes()
@@ -172,6 +173,7 @@ def _hashes(layout: Layout):
 
 def _filter(first_blocks: dict[int, tuple[int, int]]):
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        common.keep_only()
         shard = key[0].as_py()
         first, n = first_blocks[shard]
         bits = np.zeros(n * 8, U64)
@@ -195,6 +197,7 @@ def _probe(layout: Layout, first: int, sent, alphabet: list[int], least: int):
         return left
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only()
         bits = np.frombuffer(sent.value, U64)
         for words, counts in _in_letters(batches):
             letters = Letters(words)
