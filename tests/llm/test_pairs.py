@@ -144,6 +144,34 @@ def test_one_of_each_group_stays(make):
     assert jaccard_join.keep_one(docs.where("doc_id > 5000")).count() == 0
 
 
+def test_rows_that_stay_are_not_moved(make, monkeypatch):
+    kept, plans = {}, {}
+    real = jaccard_join.common.stored
+
+    def spy(df, name="rows", leaves=False):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        kept[name] = out = real(df, name, leaves)
+        return out
+
+    monkeypatch.setattr(jaccard_join.common, "stored", spy)
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, " ".join(f"a{i}x{j}" for j in range(30))) for i in range(40)]
+    rows += [(100, words), (101, words + " z"), (101, words + " z"), (102, None), (102, None), (None, words), (103, "seldom seen"), (103, "seldom seen")]
+    left = sorted(str((r.doc_id, r.text)) for r in jaccard_join.keep_one(make(rows)).collect())
+    assert left == sorted(str(r) for r in [*rows[:40], (100, words), (102, None), (102, None), (103, "seldom seen")])
+    # 101 and the one without an id go, 103 stands twice; all other rows are not met again
+    assert sorted((str(r.r_id), r.stays) for r in kept["told"].collect()) == [("101", False), ("103", True), ("None", False)]
+    # prefixes are made once a class, without meeting the classes' rows
+    assert plans["prefixes"].count("Join ") == 1
+
+
+def test_counters_of_any_size(make):
+    rows = [(i, "the same words") for i in range(300)] + [(1000, "other words here")]
+    seen = jaccard_join.frequencies(make(rows).repartition(3), 3)
+    prints = [next(jaccard_join.sets_of([t], 3))[0] for t in ("the same words", "other words here")]
+    assert [seen[int(p % np.uint64(jaccard_join.COUNTERS))] for p in prints] == [300, 1] and seen.sum() == 301
+
+
 def test_cheaper_prefix_asks_for_more_matches():
     assert jaccard_join.choose_matches(np.array([1, 1, 1, 900]), 3, 30) == 1
     assert jaccard_join.choose_matches(np.full(10, 50), 3, 30) > 1

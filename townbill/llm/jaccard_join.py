@@ -103,12 +103,14 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
                 np.add.at(seen, (own % U64(COUNTERS)).astype(np.int64), 1)
         parts = seen.reshape(-1, CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "seen"])
+        # most counters of a task are small: each part goes in the narrowest type that holds it
+        made = [parts[i].astype(np.min_scalar_type(parts[i].max())).tobytes() for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(made, pa.binary())], names=["part", "seen"])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for x in table.column("seen").to_pylist():
-            total += np.frombuffer(x, np.int32)
+            total += np.frombuffer(x, f"u{len(x) // CHUNK}")
         return pa.table({"part": [key[0].as_py()], "seen": pa.array([np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).tobytes()], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "part long, seen binary").groupBy("part").applyInArrow(add, "part long, seen binary")
@@ -173,7 +175,7 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of `docs` whose text may be wanted, all that are and some others, before anything is shuffled.
+    """The rows of `docs`, and in `perhaps` whether their text may be wanted: true for all that are and some others; nothing is shuffled.
 
     One bit per slot of hashes, 64 to a row: the broadcast side has FILTER_BITS / 64 rows at most.
     """
@@ -181,8 +183,8 @@ def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), slot(h).bitwiseAND(F.lit(63)).cast("int"))
     group = lambda h: F.shiftright(slot(h), 6)
     bits = wanted.groupBy(group(F.col("r_hash")).alias("bit_group")).agg(F.bit_or(bit(F.col("r_hash"))).alias("bits"))
-    found = docs.withColumn("bit_group", group(F.col("text_hash"))).join(F.broadcast(bits), "bit_group")
-    return found.where(F.col("bits").bitwiseAND(bit(F.col("text_hash"))) != 0).drop("bit_group", "bits")
+    found = docs.withColumn("bit_group", group(F.col("text_hash"))).join(F.broadcast(bits), "bit_group", "left")
+    return found.withColumn("perhaps", F.coalesce(F.col("bits").bitwiseAND(bit(F.col("text_hash"))) != 0, F.lit(False))).drop("bit_group", "bits")
 
 
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -190,7 +192,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent:
     wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select("b")).distinct().join(reps, "cls").select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "cls")
     wanted = common.stored(wanted, "wanted")
     # the same join at every size, so that shuffles grow with the input
-    texts = _perhaps(docs, wanted).join(wanted.hint("merge"), (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
+    texts = _perhaps(docs, wanted).where("perhaps").join(wanted.hint("merge"), (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
     # the texts of the pairs only, once each
     texts = common.stored(texts.groupBy("cls").agg(F.any_value("text").alias("text")), "texts")
     with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
@@ -216,9 +218,8 @@ def _components_of(signed: DataFrame, rows: DataFrame, n: int, percent: int) ->
         some.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")).select("cls", "first", "rep.doc_id", "rep.text_hash"),
         "classes",
     )
-    one = some.join(reps.select("cls", F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")), "cls").where((F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")))
-    # the same row may stand in the table more than once
-    one = one.groupBy("cls").agg(F.any_value("n_shingles").alias("size"), F.any_value("matches").alias("matches"), F.any_value("prefix").alias("prefix"))
+    # the rows of a class have the same set, and so the same prefix
+    one = some.groupBy("cls").agg(F.any_value("n_shingles").alias("size"), F.any_value("matches").alias("matches"), F.any_value("prefix").alias("prefix"))
     entries = one.select("cls", "size", "matches", F.posexplode("prefix").alias("pos", "gram"))
     # grams of one list only are met by nobody; those before a shared gram are surely not in the partner, as
     # the order would put them into its prefix too. `reach` is the overlap that is left at a gram
@@ -276,11 +277,12 @@ def keep_one(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """
     own = docs.columns
     with common.scratch(docs.sparkSession):
-        told = common.stored(jaccard_components(docs, n, percent), "told", leaves=True).where("stays")
+        told = jaccard_components(docs, n, percent).groupBy(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"))
+        told = told.agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("times"), F.bool_or("stays").alias("stays"))
+        # what goes, or stands more than once; all other rows stay, and need not be moved to find that out
+        told = common.stored(told.where(~F.col("stays") | ((F.col("times") > 1) & (F.col("n_shingles") > 0))).select("r_id", "r_hash", "stays"), "told", leaves=True)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), F.struct(*[docs[c] for c in own]).alias("row"))
-    keys = told.groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("times"))
-    same = rows["doc_id"].eqNullSafe(keys["doc_id"]) & (rows["text_hash"] == keys["text_hash"])
-    kept = rows.join(keys, same).select(rows["doc_id"], rows["text_hash"], "row", "n_shingles", "times")
-    twice = (F.col("times") > 1) & (F.col("n_shingles") > 0)
-    once = kept.where(twice).groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
-    return kept.where(~twice).select("row").unionAll(once.select("row")).select("row.*")
+    rows = _perhaps(rows, told)
+    met = rows.where("perhaps").join(told.hint("merge"), (F.col("text_hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_id")), "left")
+    once = met.where("stays").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+    return rows.where(~F.col("perhaps")).select("row").unionAll(met.where(F.col("stays").isNull()).select("row")).unionAll(once.select("row")).select("row.*")
