@@ -131,6 +131,18 @@ def test_token_files(spark, make, tokenizer, want, tmp_path):
         at += len(ids)
 
 
+def test_token_files_are_read_without_shuffling_ids(spark, make, tokenizer, tmp_path):
+    path = str(tmp_path / "files")
+    token_files.write_tokens(make(TEXTS), path, tokenizer, shard_bytes=60_000)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = token_files.read_tokens(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=200), st.integers(1, 64))
 def test_planes_round_trip(ids, block):

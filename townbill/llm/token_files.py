@@ -10,7 +10,6 @@ retried task leaves no second copy, on any store that Spark can write to.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,23 +119,18 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                first = row["before"]
                 ids = read_stream(row["chunks"], row["planes"]).astype("<u4")
                 ends = np.cumsum(row["lengths"])
                 starts = ends - row["lengths"]
                 own = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]] * len(own), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(own, pa.binary())],
-                    names=["shard", "doc_id", "within", "n_tokens", "ids"],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + first, pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(own, pa.binary())],
+                    names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
     files = spark.read.schema(FILE).parquet(path)
     # one row per shard of bounded size: the running sum sees no documents
     before = files.select("shard", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = files.mapInArrow(read, "shard int, doc_id long, within long, n_tokens long, ids binary")
-    rows = rows.select("shard", "doc_id", "within", "n_tokens", "ids")
-    return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
-
-
-def crc32_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([zlib.crc32(x) for x in batch.column(3).to_pylist()], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    # two numbers a shard go to where the files are read; neither files nor ids are shuffled
+    return files.join(F.broadcast(before), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")

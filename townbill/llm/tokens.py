@@ -35,6 +35,7 @@ class Encoder(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.tokenize = self.library.model.tokenize
         self.old: dict[bytes, bytes] = {}
         self.model = lru_cache(maxsize=50_000)(self._model)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -50,6 +51,7 @@ class Encoder(dict):
         self.lowers = self._normal("abcdefghijklmnopqrstuvwxyz") == self._normal("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         self.plain, self.symbols = self._probe() if self.by_piece else ({}, "")
         self.letters = frozenset(map(chr, self.plain))
+        self.as_they_are = all(self.plain.get(c) == chr(c) for c in range(ord("a"), ord("z") + 1))
 
     def _probe(self) -> tuple[dict[int, str], str]:
         """Letters with their share of a part, if all pairs and triples around them agree; symbols split off after any of them."""
@@ -80,14 +82,21 @@ class Encoder(dict):
         return pack(self.library.encode(text.decode(), add_special_tokens=False).ids)
 
     def _model(self, part: str) -> bytes:
-        return pack([t.id for t in self.library.model.tokenize(part)])
+        return pack([t.id for t in self.tokenize(part)])
+
+    def _holds_added(self, low: bytes) -> bool:
+        for token in self.added:  # a plain loop, as this runs for each text and piece
+            if token in low:
+                return True
+        return False
 
     def _encode(self, piece: bytes) -> bytes:
         text = piece.decode()
+        if self.as_they_are and piece.isalpha() and piece.islower():
+            return self._model(text)
         if self.letters.issuperset(text):  # no added token is made of these letters alone
             return self._model(text.translate(self.plain))
-        low = piece.lower()
-        if any(t in low for t in self.added):
+        if self._holds_added(piece.lower()):
             return self._whole(piece)
         head = text.rstrip(self.symbols) if self.symbols else text
         if not self.letters.issuperset(head) or not head:
@@ -115,9 +124,9 @@ class Encoder(dict):
             return self._whole(raw)
         if self.lowers:
             low = raw.lower()  # ASCII letters only; added tokens may tell cases apart
-            if not any(t in low for t in self.added):
+            if not self._holds_added(low):
                 raw = low
-        return b"".join([self[piece] for piece in raw.split()])
+        return b"".join(map(self.__getitem__, raw.split()))
 
 
 def pack(ids: list[int]) -> bytes:
